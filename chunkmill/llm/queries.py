@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality
+from . import fingerprints, licenses, mixing, packing, quality, token_counts, toxicity
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op2_mixing": mixing.op2_mixing,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op7_packing": packing.op7_packing,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op9_quality": quality.op9_quality,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle()}
