@@ -119,8 +119,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hashed_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (runs of bytes other than ASCII white space) of all texts in order, and each text's number of words."""
+def hashed_words(texts: list[bytes], lower: bool = True, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs of bytes other than ASCII white space) of all texts in order, and each text's number of words; prefix: of the words' first so many bytes."""
     buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     if lower:
@@ -131,6 +131,10 @@ def hashed_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np
         return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
     first = np.flatnonzero(np.diff(where, prepend=-2) > 1)
     size = np.diff(first, append=len(where))
+    if prefix:
+        where = where[np.arange(len(where)) - np.repeat(first, size) < prefix]
+        size = np.minimum(size, prefix)
+        first = np.cumsum(size) - size
     offset = np.arange(len(where)) - np.repeat(first, size)
     power = np.full(int(size.max()), _STEP, np.uint64)
     power[0] = 1
