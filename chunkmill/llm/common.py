@@ -175,3 +175,38 @@ def in_blocks(texts: Iterable[bytes], limit: int = BLOCK_BYTES) -> Iterator[tupl
         total += len(t) + 1
     if i >= a:
         yield a, i + 1
+
+
+def keyed(docs: DataFrame, *extra: str) -> DataFrame:
+    """Rows key, doc_id, text (binary; a null as empty) and the extra columns, with a unique key in the order of doc_id.
+
+    The key is doc_id itself where ids are unique and never null. Otherwise rows are sorted by id (null first) and text
+    once, and numbered in that order in the shared folder.
+    """
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().cast("binary").alias("text"), *extra)
+    ids = plain.select("doc_id").groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if not ids.take(1):
+        return plain.select(F.col("doc_id").alias("key"), "doc_id", "text", *extra)
+    order = plain.orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    return stored(order.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", *extra), "keyed")
+
+
+def blobs(rows: DataFrame, n: int, name: str = "bucket") -> DataFrame:
+    """Rows with a column key dealt by it to n buckets, as compressed blobs: bucket, blob."""
+    small_batches(rows.sparkSession)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            to = (mix(batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            table = pa.Table.from_batches([batch]).take(pa.array(order))
+            edges = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
+            got = [(int(to[order[a]]), pack(table.slice(a, b - a).combine_chunks())) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield bucket_rows(got, name)
+
+    return rows.mapInArrow(work, f"{name} int, blob binary")
+
+
+def bucket_rows(got: list[tuple[int, bytes]], name: str = "bucket") -> pa.RecordBatch:
+    """Blobs and their buckets as a batch."""
+    return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], [name, "blob"])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licenses, mixing, packing, quality, token_counts, toxicity
+from . import fingerprints, licenses, mixing, packing, quality, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_mixing": mixing.op2_mixing,
     "op4_fingerprints": fingerprints.op4_fingerprints,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op7_packing": packing.op7_packing,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_quality": quality.op9_quality,
