@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licenses, mixing, packing, quality, suffix_dedup, token_counts, toxicity
+from . import fingerprints, licenses, lm_scoring, mixing, packing, quality, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_mixing": mixing.op2_mixing,
+    "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op7_packing": packing.op7_packing,
