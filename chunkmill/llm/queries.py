@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licenses, lm_scoring, mixing, packing, quality, suffix_dedup, token_counts, toxicity
+from . import fingerprints, licenses, lm_scoring, mixing, ngram_join, packing, quality, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_packing": packing.op7_packing,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_quality": quality.op9_quality,
