@@ -373,8 +373,9 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return repeated(keyed(docs), _figures, schema, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length)
 
 
-def _rewritten(r: dict) -> dict:
-    return {"key": r["key"], "kept": _kept(r["text"], r["runs"]).decode(errors="ignore"), "runs": [{"start": a, "stop": b} for a, b in r["runs"]]}
+def rewritten(r: dict) -> dict:
+    """For repeated(): the text that is left, null where nothing was removed; a code point that a cut halves goes whole."""
+    return {"key": r["key"], "kept": _kept(r["text"], r["runs"]).decode(errors="ignore") if r["runs"] else None}
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
