@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
 
 #: Where the vocabulary files of public tokenizers lie, unless a caller names another place.
 TOKENIZERS = "/opt/tokenizers"
 
+_MARKS = b".,!?%*&$#;:"
+
 _LOADED: dict[tuple, CachedTokenizer] = {}
 
 
+def halves(word: bytes) -> tuple[bytes, bytes] | None:
+    """A word as a lower-case stem and the ASCII marks at its end, where its ids are those of the two: the stem ends in a letter, and no special token can be in it."""
+    stem = word.rstrip(_MARKS)
+    low = stem.lower()
+    if not stem or low == word or b"<|" in word or not (stem[-1:].isalpha() or (stem[-1] >= 0x80 and normalize("NFC", stem[-4:].decode(errors="ignore")[-1:]).lower().isalpha())):
+        return None
+    return low, word[len(stem) :]
+
+
 class CachedTokenizer:
     """Token ids of texts, word by word.
 
@@ -20,7 +32,7 @@ class CachedTokenizer:
     bounded; the words of one block that no longer fit are kept for that block alone.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
@@ -30,11 +42,13 @@ class CachedTokenizer:
         self.ids = np.zeros(1 << 14, np.uint32)
         self.filled = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        new = [x.ids for x in found]
-        sizes = np.fromiter(map(len, new), np.int64, len(new))
-        flat = np.fromiter(chain.from_iterable(new), np.uint32, int(sizes.sum()))
+    def _gather(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these places, one after another, and how many each has."""
+        sizes = self.size[where].astype(np.int64)
+        ends = np.cumsum(sizes)
+        return self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.at[where] - (ends - sizes), sizes)], sizes
+
+    def _put(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.index)
         while n + len(words) > len(self.size):
             self.size, self.at = np.concatenate([self.size, self.size * 0]), np.concatenate([self.at, self.at * 0])
@@ -46,6 +60,28 @@ class CachedTokenizer:
         self.filled += len(flat)
         self.index.update(zip(words, range(n, n + len(words)), strict=True))
 
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Put words into the table, and what they are made of; all that was added."""
+        index = self.index
+        whole, split = {}, {}
+        for w in words:
+            if parts := halves(w):
+                split[w] = parts
+                for x in parts:
+                    if x not in index:
+                        whole[x] = None
+            else:
+                whole[w] = None
+        new = list(whole)
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        ids = [x.ids for x in found]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._put(new, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+        made = [w for w in split if w not in index]
+        flat, sizes = self._gather(np.fromiter((index[x] for w in made for x in split[w]), np.int64, 2 * len(made)))
+        self._put(made, flat, sizes.reshape(-1, 2).sum(axis=1))
+        return new + made
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text."""
         words = [t.split() for t in texts]
@@ -53,11 +89,10 @@ class CachedTokenizer:
         index, mark, kept = self.index, self.filled, len(self.index)
         new = list(dict.fromkeys(w for w in flat if w not in index))
         if new:
-            self._learn(new)
+            new = self._learn(new)
         where = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-        sizes = self.size[where].astype(np.int64)
+        out, sizes = self._gather(where)
         ends = np.cumsum(sizes)
-        out = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.at[where] - (ends - sizes), sizes)]
         if kept + len(new) > self.limit:
             for w in new:
                 del index[w]
