@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, bucket_rows, buckets, dealt, documents, gathered, in_blocks, keyed, mix, small_batches, stored, unpack
+from .common import blobs, buckets, dealt, documents, gathered, in_blocks, keyed, mix, small_batches, stored, unpack
 from .deep_shallow import sort_suffixes
 
 #: Bytes of a repeated string.
@@ -18,7 +18,7 @@ LENGTH = 100
 #: Bytes of the anchor that stands for all strings around it: of each string's anchors, the one with the least hash.
 ANCHOR = 32
 #: Bytes of text of which a task combines equal segments before it deals them.
-COMBINE_BYTES = 8 << 20
+COMBINE_BYTES = 16 << 20
 #: An anchor with more different surroundings than this in one task's text, or than HOT_TOTAL in all, is settled by digests of its strings, dealt by the string, instead of by sorting in one task.
 HOT_LOCAL, HOT_TOTAL = 64, 2000
 
@@ -103,25 +103,44 @@ def _later(keys: tuple[np.ndarray, ...], doc: np.ndarray, at: np.ndarray) -> tup
     return o, np.concatenate([[False], same])[: len(o)]
 
 
-_SEG = {"m": np.uint64, "c": np.uint64, "doc": np.int64, "lo": np.int32, "n": np.uint8, "own": np.bool_, "hot": np.bool_}
-_SPAN = {"doc": np.int64, "lo": np.int32, "n": np.int32}
-_CAND = _SPAN | {"m": np.uint64, "hot": np.bool_}
-#: What a row holds: segments by anchor; spans to remove, candidates, both by document; strings' bytes by anchor, their digests by string.
-SEGMENTS, SPANS, CANDIDATES, STRINGS, DIGESTS = range(5)
+_SEG = {"m": np.uint64, "c": np.uint64, "doc": np.int64, "lo": np.int32, "n": np.uint8, "flags": np.uint8}
+#: What a row holds: a blob of segments by anchor; a span to remove, a candidate, both by document; a string's bytes by anchor; a blob of digests by string.
+SEGMENTS, SPAN, CANDIDATE, STRING, DIGESTS = range(5)
+#: Flags of a segment: it can repeat itself; its anchor is hot.
+OWN, HOT = 1, 2
+_OUT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("m", pa.int64()), ("hot", pa.bool_()), ("blob", pa.binary())])
+_DDL = "kind int, bucket int, doc long, lo int, n int, m long, hot boolean, blob binary"
 
 
 def _bucket(x: np.ndarray, n: int) -> np.ndarray:
     return (mix(x.astype(np.int64).view(np.uint64) if x.dtype != np.uint64 else x) % np.uint64(n)).astype(np.int32)
 
 
-def _rows(kind: int, arrays: dict[str, np.ndarray], to: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _filled(rows: int, **columns) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _OUT], schema=_OUT)
+
+
+def _blobs(kind: int, arrays: dict[str, np.ndarray], to: np.ndarray) -> Iterator[pa.RecordBatch]:
     got = list(dealt(arrays, to))
-    if got:
-        batch = bucket_rows(got)
-        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(got), pa.int32()), *batch.columns], ["kind", "bucket", "blob"])
+    yield from _filled(len(got), kind=[kind] * len(got), bucket=[g[0] for g in got], blob=[g[1] for g in got])
+
+
+def _spans(x: dict[str, np.ndarray], which: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """These segments as spans to remove, those that touch as one."""
+    doc, lo, size = x["doc"][which], x["lo"][which].astype(np.int64), x["n"][which].astype(np.int64)
+    o = np.lexsort((lo, doc))
+    doc, lo, size = doc[o], lo[o], size[o]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (lo[1:] > lo[:-1] + size[:-1])])) if len(doc) else np.empty(0, np.int64)
+    if len(new):
+        last = np.append(new[1:], len(doc)) - 1
+        doc, lo, size = doc[new], lo[new], lo[last] + size[last] - lo[new]
+        yield from _filled(len(doc), kind=np.full(len(doc), SPAN), bucket=_bucket(doc, n), doc=doc, lo=lo, n=size)
 
 
-_ROWS = "kind int, bucket int, blob binary"
+def _candidates(x: dict[str, np.ndarray], which: np.ndarray, hot: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    doc = x["doc"][which]
+    yield from _filled(len(doc), kind=np.full(len(doc), CANDIDATE), bucket=_bucket(doc, n), doc=doc, lo=x["lo"][which], n=x["n"][which], m=x["m"][which].astype(np.int64), hot=hot)
 
 
 def _by_anchor(rows: DataFrame, n: int, length: int) -> DataFrame:
@@ -132,18 +151,17 @@ def _by_anchor(rows: DataFrame, n: int, length: int) -> DataFrame:
         x["m"] >>= np.uint64(20)
         o, again = _later((x["m"], x["c"]), x["doc"], x["lo"])
         x = {k: v[o] for k, v in x.items()}
-        span = {k: x[k][again].astype(t) for k, t in _SPAN.items()}
-        yield from _rows(SPANS, span, _bucket(span["doc"], n))
+        yield from _spans(x, again, n)
         x = {k: v[~again] for k, v in x.items()}
-        first = np.flatnonzero(np.concatenate([[True], x["m"][1:] != x["m"][:-1]])) if len(x["m"]) else np.empty(0, np.int64)
+        first = _begin(x["m"])
         size = np.diff(first, append=len(x["m"]))
         hot = np.repeat(size > HOT_LOCAL, size)
-        cand = {k: x[k][hot].astype(t) for k, t in _CAND.items() if k != "hot"} | {"hot": np.ones(int(hot.sum()), bool)}
-        yield from _rows(CANDIDATES, cand, _bucket(cand["doc"], n))
+        yield from _candidates(x, hot, np.ones(int(hot.sum()), bool), n)
         keep = ~hot
         keep[first] = True  # one of a hot anchor tells the others that it is hot
-        seg = {k: x[k][keep].astype(t) for k, t in _SEG.items() if k != "hot"} | {"hot": hot[keep]}
-        yield from _rows(SEGMENTS, seg, _bucket(seg["m"], n))
+        x["flags"] = (x["own"] * OWN + hot * HOT).astype(np.uint8)
+        seg = {k: x[k][keep].astype(t) for k, t in _SEG.items()}
+        yield from _blobs(SEGMENTS, seg, _bucket(seg["m"], n))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -160,28 +178,30 @@ def _by_anchor(rows: DataFrame, n: int, length: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return rows.select("key", "text").mapInArrow(work, _ROWS)
+    return rows.select("key", "text").mapInArrow(work, _DDL)
+
+
+def _begin(key: np.ndarray) -> np.ndarray:
+    """Beginnings of runs of equal values."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
 
 
 def _meet(n: int):
     """For each anchor's bucket: later segments of equal bytes become spans, different ones of one anchor candidates."""
 
-    def work(key, batches):
-        x = gathered((b for t in batches for b in t.column("blob").to_pylist()), _SEG)
-        hot = x.pop("hot")
+    def work(key, table):
+        x = gathered(table.column("blob").to_pylist(), _SEG)
         o, again = _later((x["m"], x["c"]), x["doc"], x["lo"])
-        x, hot = {k: v[o] for k, v in x.items()}, hot[o]
-        # one that tells is among the candidates already, but stays one of its anchor here
-        span = {k: x[k][again].astype(t) for k, t in _SPAN.items()}
-        yield from _rows(SPANS, span, _bucket(span["doc"], n))
-        first = np.flatnonzero(np.concatenate([[True], x["m"][1:] != x["m"][:-1]])) if len(o) else np.empty(0, np.int64)
+        x = {k: v[o] for k, v in x.items()}
+        hot, own = x["flags"] & HOT > 0, x["flags"] & OWN > 0
+        first = _begin(x["m"])
         size = np.diff(first, append=len(o))
         told = np.add.reduceat(hot, first) > 0 if len(first) else np.empty(0, bool)
         fresh = np.add.reduceat(~again, first) if len(first) else np.empty(0, np.int64)
         big = np.repeat(told | (fresh > HOT_TOTAL), size)
-        want = (np.repeat(told | (fresh > 1), size) | x["own"]) & ~again & ~hot
-        cand = {k: x[k][want].astype(t) for k, t in _CAND.items() if k != "hot"} | {"hot": big[want]}
-        yield from _rows(CANDIDATES, cand, _bucket(cand["doc"], n))
+        # one that tells is among the candidates already
+        want = (np.repeat(told | (fresh > 1), size) | own) & ~again & ~hot
+        return pa.Table.from_batches([*_spans(x, again, n), *_candidates(x, want, big[want], n)], _OUT)
 
     return work
 
@@ -190,94 +210,72 @@ def _strings(n: int, length: int):
     """For each bucket of documents: the bytes of its candidates, dealt by anchor; for hot anchors digests, dealt by string."""
 
     def work(key, docs, candidates):
-        x = gathered(candidates.column("blob").to_pylist(), _CAND)
+        doc, lo, size, m = (candidates.column(k).to_numpy() for k in ("doc", "lo", "n", "m"))
+        is_hot = candidates.column("hot").to_numpy()
         out = []
-        if len(x["doc"]):
+        if len(doc):
             texts = {}
-            wanted = set(np.unique(x["doc"]).tolist())
+            wanted = set(np.unique(doc).tolist())
             for blob in docs.column("blob").to_pylist():
                 t = unpack(blob)
                 texts.update((k, v) for k, v in zip(t.column("key").to_pylist(), t.column("text").to_pylist(), strict=True) if k in wanted)
-            cool = np.flatnonzero(~x["hot"])
+            take = lambda part: [texts[d][a : a + k + length - 1] for d, a, k in zip(doc[part].tolist(), lo[part].tolist(), size[part].tolist(), strict=True)]
+            cool = np.flatnonzero(~is_hot)
             for a in range(0, len(cool), 1 << 16):
                 part = cool[a : a + (1 << 16)]
-                data = [texts[d][lo : lo + k + length - 1] for d, lo, k in zip(x["doc"][part].tolist(), x["lo"][part].tolist(), x["n"][part].tolist(), strict=True)]
-                table = {"m": x["m"][part], "doc": x["doc"][part], "lo": x["lo"][part], "bytes": np.array(data, object)}
-                out += _rows(STRINGS, table, _bucket(x["m"][part], n))
-            hot = np.flatnonzero(x["hot"])
+                out += _filled(len(part), kind=np.full(len(part), STRING), bucket=_bucket(m[part].view(np.uint64), n), doc=doc[part], lo=lo[part], m=m[part], blob=take(part))
+            hot = np.flatnonzero(is_hot)
             for a in range(0, len(hot), 1 << 12):
                 part = hot[a : a + (1 << 12)]
-                data = [texts[d][lo : lo + k + length - 1] for d, lo, k in zip(x["doc"][part].tolist(), x["lo"][part].tolist(), x["n"][part].tolist(), strict=True)]
-                sizes = x["n"][part].astype(np.int64)
-                buf = np.frombuffer(b"".join(data), np.uint8)
+                buf = np.frombuffer(b"".join(take(part)), np.uint8)
+                sizes = size[part].astype(np.int64)
                 row = np.repeat(np.arange(len(part)), sizes)
                 off = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 pos = off + (np.cumsum(sizes + length - 1) - (sizes + length - 1))[row]
-                d1, d2 = rolling(buf, length)[0][pos], rolling(buf, length, salt=0x5851F42D4C957F2D)[0][pos]
-                y = {"d1": d1, "d2": d2, "doc": x["doc"][part][row], "lo": (x["lo"][part][row] + off).astype(np.int32)}
-                o, again = _later((d1, d2), y["doc"], y["lo"])
+                y = {"d1": rolling(buf, length)[0][pos], "d2": rolling(buf, length, salt=0x5851F42D4C957F2D)[0][pos], "doc": doc[part][row], "lo": (lo[part][row] + off).astype(np.int32)}
+                o, again = _later((y["d1"], y["d2"]), y["doc"], y["lo"])
                 y = {k: v[o] for k, v in y.items()}
-                span = {k: y[k][again] for k in ("doc", "lo")} | {"n": np.ones(int(again.sum()), np.int32)}
-                out += _rows(SPANS, span, _bucket(span["doc"], n))
+                out += _spans(y | {"n": np.ones(len(o), np.int64)}, again, n)
                 rest = {k: v[~again] for k, v in y.items()}
-                out += _rows(DIGESTS, rest, _bucket(rest["d1"], n))
-        return pa.Table.from_batches(out, pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())]))
+                out += _blobs(DIGESTS, rest, _bucket(rest["d1"], n))
+        return pa.Table.from_batches(out, _OUT)
 
     return work
 
 
-def _compact(doc: np.ndarray, lo: np.ndarray) -> dict[str, np.ndarray]:
-    """Single starts as runs."""
-    o = np.lexsort((lo, doc))
-    doc, lo = doc[o], lo[o].astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1] + 1)])) if len(doc) else np.empty(0, np.int64)
-    return {"doc": doc[new], "lo": lo[new].astype(np.int32), "n": np.diff(new, append=len(doc)).astype(np.int32)}
-
-
 def _sort(n: int, length: int):
     """Sort the suffixes of strings that share anchors, and settle hot ones by digest; later ones of equal bytes become spans."""
 
-    def work(key, batches):
-        strings, digests = [], []
-        for t in batches:
-            for kind, blob in zip(t.column("kind").to_pylist(), t.column("blob").to_pylist(), strict=True):
-                (strings if kind == STRINGS else digests).append(blob)
-        if digests:
+    def work(key, table):
+        out = []
+        kind = table.column("kind").to_numpy()
+        if digests := [b for k, b in zip(kind, table.column("blob").to_pylist(), strict=True) if k == DIGESTS]:
             y = gathered(digests, {"d1": np.uint64, "d2": np.uint64, "doc": np.int64, "lo": np.int32})
             o, again = _later((y["d1"], y["d2"]), y["doc"], y["lo"])
-            span = _compact(y["doc"][o][again], y["lo"][o][again])
-            yield from _rows(SPANS, span, _bucket(span["doc"], n))
-        if strings:
-            x = _joined(strings)
-            o = np.argsort(x["m"], kind="stable")
-            edges = np.flatnonzero(np.diff(x["m"][o], prepend=~x["m"][o[:1]], append=~x["m"][o[-1:]]) != 0)
-            # whole anchors together, up to about 16k strings at once
-            a = 0
-            while a < len(edges) - 1:
-                b = max(a + 1, int(np.searchsorted(edges, edges[a] + (1 << 14), "right")) - 1)
-                part = o[edges[a] : edges[b]]
-                a = b
-                data = [x["bytes"][i] for i in part]
-                size = np.fromiter(map(len, data), np.int64, len(data))
-                many = size - length + 1
-                row = np.repeat(np.arange(len(data)), many)
-                off = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                doc, lo = x["doc"][part][row], x["lo"][part][row].astype(np.int64) + off
-                place = np.lexsort((lo, doc))
-                starts = ((np.cumsum(size) - size)[row] + off)[place]
-                order, fresh = sort_suffixes(np.frombuffer(b"".join(data), np.uint8), starts, length)
-                late = place[order[~fresh]]
-                span = _compact(doc[late], lo[late])
-                yield from _rows(SPANS, span, _bucket(span["doc"], n))
+            out += _spans({"doc": y["doc"][o], "lo": y["lo"][o], "n": np.ones(len(o), np.int64)}, again, n)
+        some = table.filter(pa.array(kind == STRING))
+        m, docs, los, data = some.column("m").to_numpy(), some.column("doc").to_numpy(), some.column("lo").to_numpy(), some.column("blob")
+        o = np.argsort(m, kind="stable")
+        edges = np.append(_begin(m[o]), len(o))
+        a = 0
+        while a < len(edges) - 1:  # whole anchors together, up to about 16k strings at once
+            b = max(a + 1, int(np.searchsorted(edges, edges[a] + (1 << 14), "right")) - 1)
+            part = o[edges[a] : edges[b]]
+            a = b
+            own = data.take(pa.array(part)).to_pylist()
+            size = np.fromiter(map(len, own), np.int64, len(own))
+            many = size - length + 1
+            row = np.repeat(np.arange(len(own)), many)
+            off = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            doc, lo = docs[part][row], los[part][row].astype(np.int64) + off
+            place = np.lexsort((lo, doc))
+            order, fresh = sort_suffixes(np.frombuffer(b"".join(own), np.uint8), ((np.cumsum(size) - size)[row] + off)[place], length)
+            out += _spans({"doc": doc, "lo": lo, "n": np.ones(len(doc), np.int64)}, place[order[~fresh]], n)
+        return pa.Table.from_batches(out, _OUT)
 
     return work
 
 
-def _joined(parts: list) -> dict:
-    tables = [unpack(p) for p in parts]
-    return {k: np.concatenate([t.column(k).to_numpy() for t in tables]) for k in ("m", "doc", "lo")} | {"bytes": [v for t in tables for v in t.column("bytes").to_pylist()]}
-
-
 def _runs(size: int, spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes that the strings beginning in these spans cover."""
     out: list[list[int]] = []
@@ -290,13 +288,13 @@ def _runs(size: int, spans: list[tuple[int, int]], length: int) -> list[tuple[in
     return [(a, b) for a, b in out]
 
 
-def _rest(length: int, names: list[str], schema: pa.Schema, finish):
+def _rest(length: int, schema: pa.Schema, finish):
     """For each bucket of documents: what is left of each."""
 
     def work(key, docs, spans):
-        x = gathered(spans.column("blob").to_pylist(), _SPAN)
-        o = np.argsort(x["doc"], kind="stable")
-        ids, lo, n = (x[k][o] for k in ("doc", "lo", "n"))
+        ids = spans.column("doc").to_numpy()
+        o = np.argsort(ids, kind="stable")
+        ids, lo, n = ids[o], spans.column("lo").to_numpy()[o], spans.column("n").to_numpy()[o]
         edges = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]])) if len(ids) else np.zeros(1, np.int64)
         of = {int(ids[a]): list(zip(lo[a:b].tolist(), n[a:b].tolist(), strict=True)) for a, b in zip(edges[:-1], edges[1:], strict=True)}
         out = []
@@ -334,26 +332,15 @@ def repeated(rows: DataFrame, finish, schema: pa.Schema, ddl: str, length: int =
     """
     spark = rows.sparkSession
     small_batches(spark)
-    n = 2 * buckets(spark)
+    n = buckets(spark)
     first = stored(_by_anchor(rows, n, length), "segments")
-    met = stored(first.where(F.col("kind") == SEGMENTS).groupBy("bucket").applyInArrow(_streamed(_meet(n)), _ROWS), "met")
+    met = stored(first.where(F.col("kind") == SEGMENTS).groupBy("bucket").applyInArrow(_meet(n), _DDL), "met")
     both = first.unionByName(met)
     texts = blobs(rows.select("key", "text"), n)
-    got = stored(texts.groupBy("bucket").cogroup(both.where(F.col("kind") == CANDIDATES).groupBy("bucket")).applyInArrow(_strings(n, length), _ROWS), "strings")
-    sorted_ = got.where(F.col("kind").isin(STRINGS, DIGESTS)).groupBy("bucket").applyInArrow(_streamed(_sort(n, length)), _ROWS)
-    spans = both.unionByName(got).where(F.col("kind") == SPANS).unionByName(sorted_)
-    names = [f.name for f in schema]
-    return blobs(rows, n).groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_rest(length, names, schema, finish), ddl)
-
-
-def _streamed(work):
-    """A function of a bucket's table from one that yields batches."""
-    kind = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
-
-    def run(key, table):
-        return pa.Table.from_batches(list(work(key, [table])), kind)
-
-    return run
+    got = stored(texts.groupBy("bucket").cogroup(both.where(F.col("kind") == CANDIDATE).groupBy("bucket")).applyInArrow(_strings(n, length), _DDL), "strings")
+    sorted_ = got.where(F.col("kind").isin(STRING, DIGESTS)).groupBy("bucket").applyInArrow(_sort(n, length), _DDL)
+    spans = both.unionByName(got).where(F.col("kind") == SPAN).unionByName(sorted_).select("bucket", "doc", "lo", "n")
+    return blobs(rows, n).groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_rest(length, schema, finish), ddl)
 
 
 def _figures(r: dict) -> dict:
