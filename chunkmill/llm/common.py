@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -56,15 +57,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as compressed Parquet in the shared folder; smaller than a checkpoint where rows hold large blobs."""
-    import uuid
+_STORED: list[str] = []
+
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as compressed Parquet in the shared folder; smaller than a checkpoint where rows hold large blobs. It stays until forget() or whoever owns the folder removes it."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _STORED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Remove what stored() has written in this process; results that are still to be computed from it are lost."""
+    while _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pack(table: pa.Table | pa.RecordBatch) -> bytes:
     """A table as one compressed blob; one of plain numbers has a short head instead of Arrow's, since blobs can be small."""
     kinds = [f.type for f in table.schema]

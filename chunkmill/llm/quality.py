@@ -14,7 +14,7 @@ LEAST_GROUP = 200
 #: A measure is out of range beyond the quartiles by so many times their distance, plus the measure's slack.
 FENCE = 4.0
 #: Measures and the slack that keeps a group without any spread from losing whatever differs at all.
-SLACK = {"symbol_share": 0.05, "dup_line_share": 0.25, "word_length": 2.0}
+SLACK = {"symbol_share": 0.05, "dup_line_share": 0.5, "word_length": 2.0}
 #: Thresholds of at most so many groups are broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 10_000
 
