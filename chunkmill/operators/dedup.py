@@ -76,3 +76,9 @@ def file_index(df: DataFrame, name: str) -> DataFrame:
     """The rows with file_idx, the rank from 0 of the named column in its order; the distinct names are few beside the rows."""
     names = df.select(name).distinct().select(F.col(name).alias("_f"), (F.dense_rank().over(Window.orderBy(name)) - 1).cast("long").alias("file_idx"))
     return df.join(names, F.col(name).eqNullSafe(F.col("_f"))).drop("_f")
+
+
+def approximate_stats(occurrences: DataFrame, *by: str) -> DataFrame:
+    """by..., total_len, n_chunks, chunk_bytes by a HyperLogLog sketch of hashes: bytes are the distinct count times the mean size. One small row for each task is shuffled instead of hashes; sketches of parts can be merged."""
+    rows = occurrences.groupBy(*by).agg(F.sum("size").cast("long").alias("total_len"), F.hll_sketch_estimate(F.hll_sketch_agg("hash")).alias("n_chunks"), F.avg("size").alias("_mean"))
+    return rows.withColumn("chunk_bytes", F.least(F.round(F.col("n_chunks") * F.col("_mean")).cast("long"), F.col("total_len"))).drop("_mean")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import chunking, dedup, edits, row_cdc, synthetic
 from ..operators.positions import with_positions
+from ..session import shared_folder
 from ..sources import parquet_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -494,6 +495,12 @@ def multidoc_cells(spark, sf_dir):
 # ---- generators and files, which SQL does not have ----
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder's path in the shared one, where that is mounted."""
+    shared = shared_folder(spark).removeprefix("file:")
+    return f"{shared if Path(shared).is_dir() else tempfile.gettempdir()}/chunkmill-{uuid.uuid4().hex}"
+
+
 @query()
 def synthetic_schema_types(spark, sf_dir):
     """A generated table of all types."""
@@ -522,11 +529,9 @@ def parquet_page_sizes(spark, sf_dir):
 @query()
 def cdc_parquet_roundtrip(spark, sf_dir):
     """Rows written with content-defined page boundaries and read again."""
-    from ..session import shared_folder
     from .formats import write_cdc_parquet
 
-    folder = shared_folder(spark).removeprefix("file:")
-    path = f"{folder if Path(folder).is_dir() else tempfile.gettempdir()}/cdc-{uuid.uuid4().hex}"
+    path = _folder(spark)
     write_cdc_parquet(table(spark, sf_dir, "orders"), path)
     return spark.read.parquet(path)
 
@@ -539,4 +544,4 @@ def format_comparison(spark, sf_dir):
 
     o = orders(spark, sf_dir)
     formats = [ParquetFormat("snappy"), ParquetFormat("snappy", use_cdc=True), JsonLinesFormat()]
-    return compare_formats_tables(spark, formats, {"insert": {"original": o, "insert": edited(spark, o, "insert")}}, tempfile.mkdtemp(prefix="chunkmill-"), sanity_check=False)
+    return compare_formats_tables(spark, formats, {"insert": {"original": o, "insert": edited(spark, o, "insert")}}, _folder(spark), sanity_check=False)

@@ -114,3 +114,9 @@ def test_estimates_of_no_bytes_and_no_files(spark, files):
         experiment.estimate(spark, [])
     with pytest.raises(FileNotFoundError):
         experiment.estimate(spark, [files[0] / "none"])
+
+
+def test_approximate_stats_are_near(spark):
+    occ = spark.range(20_000).selectExpr("0L AS file_idx", "id AS ord", "md5(cast(id % 5000 as string)) AS hash", "100L AS size")
+    r = dedup.approximate_stats(occ).first()
+    assert r["total_len"] == 2_000_000 and abs(r["chunk_bytes"] / 500_000 - 1) < 0.1
