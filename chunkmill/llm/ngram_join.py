@@ -21,7 +21,7 @@ BLOCK_TEXT = 8 << 20
 COUNT_BITS = 40
 #: Fragments into which the order of shingles is cut.
 FRAGMENTS = 4
-#: A shingle with more documents than this in one bucket has them linked to their first there, and that one alone is posted.
+#: A shingle with more postings than this in one bucket has them paired with their hubs there in the first round, and hubs alone are posted.
 LOCAL_POSTS = 32
 
 _ROWS = "bucket int, block long, blob binary"
@@ -105,7 +105,7 @@ def _texts(block: int, table: pa.Table) -> pa.RecordBatch:
 MEMBERS, SETS = 0, 1
 _KINDS = "kind int, bucket int, blob binary"
 _MEMBERS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("rep", pa.int64())])
-_SETS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary(16)), ("tokens", pa.binary())])
+_SETS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary(16)), ("tokens", pa.binary()), ("central", pa.int64())])
 
 
 def _kinds(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -135,7 +135,7 @@ def _ordered(n: int, width: int, percent: int):
                     continue
                 seen[digest] = k
                 o = np.lexsort((x[shared], c[shared]))
-                going.setdefault(int.from_bytes(digest[:4], "little") % n, []).append((k, d, len(x), digest, x[shared][o].tobytes()))
+                going.setdefault(int.from_bytes(digest[:4], "little") % n, []).append((k, d, len(x), digest, x[shared][o].tobytes(), int(1000 * c.mean())))
         rows = [(SETS, b, pack(_rows(v, _SETS))) for b, v in going.items()]
         return _kinds([(MEMBERS, 0, pack(_rows(members, _MEMBERS))), *rows])
 
@@ -163,12 +163,12 @@ def _representatives(n: int):
     return work
 
 
-def _opened(table) -> dict[int, tuple[int, np.ndarray]]:
-    """key -> (size of the set, its shared shingles in the global order)."""
+def _opened(table) -> dict[int, tuple[int, np.ndarray, int]]:
+    """key -> (size of the set, its shared shingles in the global order, how central it is)."""
     out = {}
     for blob in table.column("blob").to_pylist():
         t = unpack(blob)
-        out.update((k, (n, np.frombuffer(x, np.uint64))) for k, n, x in zip(t.column("key").to_pylist(), t.column("n").to_pylist(), t.column("tokens").to_pylist(), strict=True))
+        out.update((k, (n, np.frombuffer(x, np.uint64), c)) for k, n, x, c in zip(*(t.column(f).to_pylist() for f in ("key", "n", "tokens", "central")), strict=True))
     return out
 
 
@@ -178,116 +178,183 @@ def prefix(n: int, shared: int, percent: int) -> int:
     return max(0, n - least + 1 - (n - shared))
 
 
-_POST = {"token": np.uint64, "key": np.int64, "n": np.int64, "label": np.int64}
+def _fits(a, b, percent: int):
+    """Whether sets of these sizes can link."""
+    return (100 * a >= percent * b) & (100 * b >= percent * a)
 
 
-def _hubs(token: np.ndarray, key: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For postings sorted by token, size and key: each one's hub, the first posting of its token whose size does not rule it out, and whether it is one."""
-    hub = np.empty(len(token), np.int64)
-    is_hub = np.zeros(len(token), bool)
-    at, last = 0, None
-    for i, (t, s) in enumerate(zip(token.tolist(), size.tolist(), strict=True)):
-        if t != last or 100 * size[at] < percent * s:
-            at, last = i, t
-            is_hub[i] = True
-        hub[i] = at
-    return hub, is_hub
+def _groups(token: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of equal tokens that are longer than one."""
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
+    last = np.append(first[1:], len(token))
+    some = last - first > 1
+    return zip(first[some].tolist(), last[some].tolist(), strict=True)
 
 
-def _posts(n: int, percent: int, local: bool):
-    """Postings of the rarest shingles of each representative, with its label; local: those linked at once are told as pairs (kind SETS)."""
+def _stars(key: np.ndarray, size: np.ndarray, label: np.ndarray, percent: int) -> tuple[list, np.ndarray]:
+    """Pairs of one shingle's postings, the most central first, with hubs: the first, and the first of those whose size that one rules out, and so on. Also which are hubs."""
+    found, hubs, left = [], np.zeros(len(key), bool), np.arange(len(key))
+    while len(left):
+        hubs[left[0]] = True
+        fits = _fits(size[left[0]], size[left[1:]], percent)
+        other = left[1:][fits]
+        other = other[label[other] != label[left[0]]]
+        if len(other):
+            found.append(np.stack([np.full(len(other), key[left[0]]), key[other]], 1))
+        left = left[1:][~fits]
+    return found, hubs
+
+
+def bitmap(x: np.ndarray, size: int) -> np.ndarray:
+    """Parities of a set's hashes by their lowest bits, in about two bits for each of its size; half of it xor the other half is the bitmap of half the length."""
+    bits = 1 << min(max((2 * size - 1).bit_length(), 8), 14)
+    return np.packbits((np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+class Sketches:
+    """Bitmaps of sets, by which pairs are ruled out for certain: sets differ in at least as many elements as their bitmaps in bits, and in all that no other set has."""
+
+    def __init__(self, keys: list[int], sizes: list[int], shared: list[int], maps: list[np.ndarray], percent: int):
+        self.percent, self.at = percent, {}
+        self.rows: dict[int, list] = {}
+        for k, n, m, x in zip(keys, sizes, shared, maps, strict=True):
+            if k not in self.at:
+                own = self.rows.setdefault(len(x), [])
+                self.at[k] = len(x), len(own), n, n - m
+                own.append(x)
+        self.maps = {w: np.stack(v) for w, v in self.rows.items()}
+
+    def possible(self, key: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others, all of sizes that fit, can link with the key's set."""
+        width, row, n, alone = self.at[key]
+        x = self.maps[width][row]
+        where = np.array([self.at[k] for k in others.tolist()], np.int64).reshape(-1, 4)
+        ok = np.zeros(len(others), bool)
+        total = n + where[:, 2]
+        most = total - 2 * (-(-self.percent * total // (100 + self.percent)))
+        for w in np.unique(where[:, 0]).tolist():
+            part = np.flatnonzero(where[:, 0] == w)
+            y, own = self.maps[w][where[part, 1]], x
+            while own.shape[-1] > y.shape[-1]:
+                own = own[: own.shape[-1] // 2] ^ own[own.shape[-1] // 2 :]
+            while y.shape[-1] > own.shape[-1]:
+                y = y[:, : y.shape[-1] // 2] ^ y[:, y.shape[-1] // 2 :]
+            ok[part] = np.bitwise_count(y ^ own).sum(axis=1) + alone + where[part, 3] <= most[part]
+        return ok
+
+
+def _crossed(key: np.ndarray, size: np.ndarray, label: np.ndarray, percent: int, sketches: Sketches) -> list:
+    """All pairs of one shingle's postings with different labels that can link."""
+    found = []
+    if (label != label[0]).any():
+        for i in range(len(key) - 1):
+            other = key[i + 1 :][(label[i + 1 :] != label[i]) & _fits(size[i], size[i + 1 :], percent)]
+            if len(other):
+                other = other[sketches.possible(int(key[i]), other)]
+                found.append(np.stack([np.full(len(other), key[i]), other], 1))
+    return found
+
+
+def _distinct(found: list) -> np.ndarray:
+    """Pairs once each, the lesser key first."""
+    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), np.int64)
+
+
+_ROUNDS = ("stars", "crossed")
+
+
+#: A third kind of row: sketches of the sets whose postings go to a bucket.
+SKETCHES = 2
+_SKETCH = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("bits", pa.binary())])
+
+
+def _posts(n: int, percent: int, way: str):
+    """Postings of the rarest shingles of each representative, with its label; "stars": of a shingle with many here those with a hub are told as pairs at once (kind SETS), and hubs alone are posted; "crossed": sketches of the sets go with them."""
 
     def work(key, own, labels):
-        label = {}
-        for k, v in zip(labels.column("key").to_pylist(), labels.column("component").to_pylist(), strict=True):
-            label[k] = v
-        token, keys, sizes = [], [], []
-        for k, (size, x) in _opened(own).items():
+        label = dict(zip(labels.column("key").to_pylist(), labels.column("component").to_pylist(), strict=True))
+        token, rows, sets_ = [], [], _opened(own)
+        for k, (size, x, central) in sets_.items():
             p = prefix(size, len(x), percent)
             token.append(x[:p])
-            keys.append(np.full(p, k))
-            sizes.append(np.full(p, size))
+            rows.append(np.tile(np.array([k, size, label.get(k, k), -central], np.int64), (p, 1)))
         if not token:
             return _kinds([])
-        token, keys, sizes = np.concatenate(token), np.concatenate(keys), np.concatenate(sizes)
+        token, rows = np.concatenate(token), np.concatenate(rows)
         out = []
-        if local:
-            o = np.lexsort((keys, sizes, token))
-            token, keys, sizes = token[o], keys[o], sizes[o]
-            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
-            many = np.repeat(np.diff(first, append=len(token)), np.diff(first, append=len(token))) > LOCAL_POSTS
-            if many.any():
-                t, k, s = token[many], keys[many], sizes[many]
-                hub, is_hub = _hubs(t, k, s, percent)
-                pair = np.unique(np.stack([k[hub], k], 1)[~is_hub], axis=0)
+        if way == "stars":
+            o = np.lexsort((rows[:, 0], rows[:, 3], token))
+            token, rows = token[o], rows[o]
+            keep, found = np.ones(len(token), bool), []
+            for a, b in _groups(token):
+                if b - a > LOCAL_POSTS:
+                    pairs, hubs = _stars(*rows[a:b, :3].T, percent)
+                    found += pairs
+                    keep[a:b] = hubs
+            pair = _distinct(found)
+            if len(pair):
                 out.append((SETS, 0, pack(pa.table({"a": pair[:, 0], "b": pair[:, 1]}))))
-                keep = ~many
-                keep[np.flatnonzero(many)[is_hub]] = True
-                token, keys, sizes = token[keep], keys[keep], sizes[keep]
-        labels_ = np.array([label.get(k, k) for k in keys.tolist()], np.int64)
+            token, rows = token[keep], rows[keep]
         to = (mix(token) % np.uint64(n)).astype(np.int32)
-        out += [(MEMBERS, b, x) for b, x in dealt({"token": token, "key": keys.astype(np.int64), "n": sizes.astype(np.int64), "label": labels_}, to)]
+        if way == "crossed":
+            by_bucket: dict[int, list] = {}
+            made = {}
+            for b, k in np.unique(np.stack([to, rows[:, 0]], 1), axis=0).tolist():
+                if k not in made:
+                    made[k] = (k, sets_[k][0], len(sets_[k][1]), bitmap(sets_[k][1], sets_[k][0]).tobytes())
+                by_bucket.setdefault(b, []).append(made[k])
+            out += [(SKETCHES, b, pack(_rows(v, _SKETCH))) for b, v in by_bucket.items()]
+        out += [(MEMBERS, b, x) for b, x in dealt({"token": token} | {c: rows[:, i] for i, c in enumerate(("key", "n", "label", "order"))}, to)]
         return _kinds(out)
 
     return work
 
 
-def _paired(percent: int, every: bool):
-    """Candidate pairs of a bucket's postings: each with its shingle's hub, or, with every, all of one shingle with different labels."""
+def _paired(percent: int, way: str):
+    """Candidate pairs of a bucket's postings."""
 
     def work(key, table):
-        got = [unpack(b) for b in table.column("blob").to_pylist()]
-        token, keys, size, label = (np.concatenate([g.column(c).to_numpy() for g in got]) for c in ("token", "key", "n", "label"))
-        o = np.lexsort((keys, size, token))
+        opened = [(k, unpack(b)) for k, b in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True)]
+        got = [t for k, t in opened if k == MEMBERS]
+        if way == "crossed":
+            known = [[v for k, t in opened if k == SKETCHES for v in t.column(c).to_pylist()] for c in ("key", "n", "shared", "bits")]
+            sketches = Sketches(*known[:3], [np.frombuffer(b, np.uint64) for b in known[3]], percent)
+        token, keys, size, label, order = (np.concatenate([g.column(c).to_numpy() for g in got]) for c in ("token", "key", "n", "label", "order"))
+        o = np.lexsort((keys, order, token))
         token, keys, size, label = token[o], keys[o], size[o], label[o]
-        if not every:
-            hub, is_hub = _hubs(token, keys, size, percent)
-            pair = np.stack([keys[hub], keys], 1)[~is_hub]
-        else:
-            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            count = np.diff(first, append=len(token))
-            mixed = np.repeat(np.maximum.reduceat(label, first) != np.minimum.reduceat(label, first), count)
-            last = np.repeat(first + count, count)
-            found = []
-            for i in np.flatnonzero(mixed).tolist():
-                j = slice(i + 1, int(last[i]))
-                other = keys[j][(label[j] != label[i]) & (100 * size[i] >= percent * size[j])]
-                if len(other):
-                    found.append(np.stack([np.full(len(other), keys[i]), other], 1))
-            pair = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        pair = np.unique(pair, axis=0) if len(pair) else pair.reshape(0, 2)
+        found = []
+        for a, b in _groups(token):
+            own = keys[a:b], size[a:b], label[a:b], percent
+            found += _stars(*own)[0] if way == "stars" else _crossed(*own, sketches)
+            if len(found) > 5000:
+                found = [_distinct(found)]
+        pair = _distinct(found)
         return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
 
     return work
 
 
-def _fragments(n: int, fragments: int):
+_PART = pa.schema([("group", pa.int32()), ("fragment", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
+
+
+def _fragments(fragments: int):
     def work(key, own, wanted):
         """Deal the sets to the buckets of their pairs, one fragment of the order each."""
-        have = _opened(own)
-        out: dict[tuple[int, int], list] = {}
-        ks, gs = wanted.column("key").to_pylist(), wanted.column("group").to_pylist()
-        parts = {}
-        for k, g in zip(ks, gs, strict=True):
+        have, parts, out = _opened(own), {}, []
+        for k, g in zip(wanted.column("key").to_pylist(), wanted.column("group").to_pylist(), strict=True):
+            size, x, _ = have[k]
             if k not in parts:
-                size, x = have[k]
                 part = (x >> np.uint64(64 - (fragments - 1).bit_length())).astype(np.int64)
-                parts[k] = size, [np.sort(x[part == f]).tobytes() for f in range(fragments)]
-            size, own_parts = parts[k]
-            for f in range(fragments):
-                out.setdefault((g, f), []).append((k, size, own_parts[f]))
-        schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
-        return pa.table({"group": pa.array([g for g, _ in out], pa.int32()), "fragment": pa.array([f for _, f in out], pa.int32()), "blob": pa.array([pack(_rows(v, schema)) for v in out.values()], pa.binary())})
+                parts[k] = [np.sort(x[part == f]).tobytes() for f in range(fragments)]
+            out += [(g, f, k, size, parts[k][f]) for f in range(fragments)]
+        return _rows(out, _PART)
 
     return work
 
 
 def _overlaps(key, own, pairs):
     """Partial overlaps of a bucket's pairs within one fragment."""
-    have = {}
-    for blob in own.column("blob").to_pylist():
-        t = unpack(blob)
-        have.update((k, (n, np.frombuffer(x, np.uint64))) for k, n, x in zip(t.column("key").to_pylist(), t.column("n").to_pylist(), t.column("tokens").to_pylist(), strict=True))
+    have = {k: (n, np.frombuffer(x, np.uint64)) for k, n, x in zip(*(own.column(c).to_pylist() for c in ("key", "n", "tokens")), strict=True)}
     rows = []
     for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
         (na, x), (nb, y) = have[a], have[b]
@@ -305,7 +372,7 @@ def _verified(reps: DataFrame, pairs: DataFrame, n: int, percent: int, fragments
     home = lambda c: F.col(c).alias("key")
     ends = pairs.select(home("a"), "group").unionByName(pairs.select(home("b"), "group")).distinct()
     ends = ends.withColumn("bucket", _home(F.col("key"), n))
-    parts = reps.groupBy("bucket").cogroup(ends.groupBy("bucket")).applyInArrow(_fragments(n, fragments), "group int, fragment int, blob binary")
+    parts = reps.groupBy("bucket").cogroup(ends.groupBy("bucket")).applyInArrow(_fragments(fragments), "group int, fragment int, key long, n long, tokens binary")
     each = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(f) for f in range(fragments)])))
     counted = parts.groupBy("group", "fragment").cogroup(each.groupBy("group", "fragment")).applyInArrow(_overlaps, "a long, b long, na long, nb long, common long")
     total = counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
@@ -333,13 +400,14 @@ def grouped(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragmen
        document of whose set less than the threshold is shared with any other cannot link and is done with.
     2. Equal sets are one representative from here on.
     3. Of each representative the rarest shingles that any linked set must share one of are posted. In a first round each
-       posting is paired with its shingle's hub alone; in a second one all postings of a shingle that are not yet in one
-       component are paired, so no link is lost and a large group of copies still makes few pairs.
+       posting is paired with its shingle's most central one alone (the one whose shingles are the most frequent); in a
+       second all postings of a shingle that are not yet in one component are paired, but for those whose bitmaps rule a
+       link out. So no link is lost, and a large group of copies still makes few pairs.
     4. Pairs are verified by vertical partitioning: the order is cut into fragments, a task counts a bucket of pairs'
        overlaps in one fragment, and the parts are summed for each pair.
     """
     spark = rows.sparkSession
-    n = 2 * buckets(spark)
+    n = buckets(spark)
     kinds = _blocks(rows, _frequencies(n, width)).groupBy("bucket").applyInArrow(_classes, _ROWS)
     first = stored(_blocks(rows, _texts).groupBy("block").cogroup(kinds.groupBy("block")).applyInArrow(_ordered(n, width, percent), _KINDS), "sets")
     second = first.where(F.col("kind") == SETS).groupBy("bucket").applyInArrow(_representatives(n), _KINDS)
@@ -349,17 +417,19 @@ def grouped(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragmen
     reps = second.where(F.col("kind") == SETS).select("bucket", "blob")
     labels = spark.createDataFrame([], "key long, component long")
     links = None
-    for every in (False, True):
+    for way in _ROUNDS:
         mine = labels.withColumn("bucket", _home(F.col("key"), n))
-        posts = reps.groupBy("bucket").cogroup(mine.groupBy("bucket")).applyInArrow(_posts(n, percent, not every), _KINDS)
-        posts = stored(posts, "posts")
-        pairs = posts.where(F.col("kind") == MEMBERS).groupBy("bucket").applyInArrow(_paired(percent, every), "a long, b long")
-        if not every:
+        posts = stored(reps.groupBy("bucket").cogroup(mine.groupBy("bucket")).applyInArrow(_posts(n, percent, way), _KINDS), "posts")
+        pairs = posts.where(F.col("kind") != SETS).groupBy("bucket").applyInArrow(_paired(percent, way), "a long, b long")
+        if way == "stars":
             pairs = pairs.unionByName(_unpacked(posts.where(F.col("kind") == SETS), pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long"))
         found = cut(_verified(reps, cut(pairs.distinct()), n, percent, fragments))
-        if every and not found.take(1):
-            break
-        links = found if links is None else links.unionByName(found)
+        if links is None:
+            links = found
+        elif found.take(1):
+            links = links.unionByName(found)
+        else:
+            continue
         labels = components(links)
     full = members.join(labels.select(F.col("key").alias("rep"), "component"), "rep", "left")
     return full.select("key", "doc_id", "n", F.coalesce("component", "rep").alias("component"))
