@@ -70,11 +70,11 @@ def dedup(a) -> int:
     """The two deduplication ratios of files."""
     spark = session()
     e = experiment.estimate(spark, a.files, images=a.images)
-    one = spark.createDataFrame([(e.chunk_bytes, e.xet_bytes, e.total_len)], "c long, x long, t long")
+    one = spark.createDataFrame([(e.chunk_bytes, e.bounded_bytes, e.total_len)], "c long, x long, t long")
     r = one.select(*[text.natural_size(F.col(k), binary=False).alias(k) for k in "cxt"]).first()
     show = lambda x: "-" if x is None else f"{x:.2%}"
     print(f"Deduplication ratio: {show(e.dedup_ratio)} ({r['c']} / {r['t']})")
-    print(f"Xet deduplication ratio: {show(e.xet_dedup_ratio)} ({r['x']} / {r['t']})")
+    print(f"Bounded deduplication ratio: {show(e.bounded_dedup_ratio)} ({r['x']} / {r['t']})")
     return 0
 
 

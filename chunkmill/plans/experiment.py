@@ -16,12 +16,12 @@ from ..operators.chunking import file_chunks
 from ..session import cut
 from .formats import FileFormat
 
-RESULT = "group string, format string, params string, numfiles int, total_len long, chunk_bytes long, compressed_chunk_bytes long, dedup_ratio double, compressed_dedup_ratio double, xet_bytes long, xet_dedup_ratio double"
+RESULT = "group string, format string, params string, numfiles int, total_len long, chunk_bytes long, compressed_chunk_bytes long, dedup_ratio double, compressed_dedup_ratio double, bounded_bytes long, bounded_dedup_ratio double"
 
 
 @dataclass(frozen=True)
 class Estimate:
-    """What files need after chunk-level deduplication; ratios are None where there are no bytes. xet_bytes: by the second, bounded profile."""
+    """What files need after chunk-level deduplication; ratios are None where there are no bytes. bounded_bytes: by the second, bounded profile."""
 
     numfiles: int
     total_len: int
@@ -29,8 +29,8 @@ class Estimate:
     compressed_chunk_bytes: int
     dedup_ratio: float | None
     compressed_dedup_ratio: float | None
-    xet_bytes: int
-    xet_dedup_ratio: float | None
+    bounded_bytes: int
+    bounded_dedup_ratio: float | None
 
 
 def chunks(spark: SparkSession, paths: Sequence[str | Path], store_data: bool = False) -> DataFrame:
@@ -54,7 +54,7 @@ def estimate(spark: SparkSession, paths: Sequence[str | Path], images: bool = Fa
 
 
 def _row(group: str, fmt: FileFormat, e: Estimate) -> tuple:
-    return group, fmt.name, fmt.paramstem, e.numfiles, e.total_len, e.chunk_bytes, e.compressed_chunk_bytes, e.dedup_ratio, e.compressed_dedup_ratio, e.xet_bytes, e.xet_dedup_ratio
+    return group, fmt.name, fmt.paramstem, e.numfiles, e.total_len, e.chunk_bytes, e.compressed_chunk_bytes, e.dedup_ratio, e.compressed_dedup_ratio, e.bounded_bytes, e.bounded_dedup_ratio
 
 
 def compare_formats_tables(spark: SparkSession, formats: Sequence[FileFormat], tables: Mapping[str, Mapping[str, DataFrame | str | Path]], directory: str | Path, workers: int = 4, sanity_check: bool = True) -> DataFrame:

@@ -17,7 +17,7 @@ def report_rows(results: DataFrame) -> DataFrame:
     """Results by group and ratio, with best, first (of its group), color and sizes for people."""
     order = Window.partitionBy("group").orderBy("dedup_ratio", "format", "params")
     rows = best_of(results).withColumn("first", F.row_number().over(order) == 1)
-    return rows.withColumn("color", text.ratio_color(F.round("dedup_ratio", 2), F.col("numfiles"))).withColumn("total", text.natural_size(F.col("total_len"))).withColumn("chunk", text.natural_size(F.col("chunk_bytes"))).withColumn("xet", text.natural_size(F.col("xet_bytes"))).orderBy("group", "dedup_ratio")
+    return rows.withColumn("color", text.ratio_color(F.round("dedup_ratio", 2), F.col("numfiles"))).withColumn("total", text.natural_size(F.col("total_len"))).withColumn("chunk", text.natural_size(F.col("chunk_bytes"))).withColumn("bounded", text.natural_size(F.col("bounded_bytes"))).orderBy("group", "dedup_ratio")
 
 
 def bar(ratio: float | None, width: int = 20) -> str:
@@ -30,12 +30,12 @@ def bar(ratio: float | None, width: int = 20) -> str:
 
 def table_text(results: DataFrame) -> str:
     """The results as a text table: a section for each group, its best rows marked with a star."""
-    head = ("Group", "Format", "Params", "Total Size", "Chunk Size", "Deduped Ratio", "Xet Size", "Xet Deduped Ratio")
+    head = ("Group", "Format", "Params", "Total Size", "Chunk Size", "Deduped Ratio", "Bounded Size", "Bounded Deduped Ratio")
     rows = []
     for r in report_rows(results).toLocalIterator():
         if r["first"] and rows:
             rows.append(None)
-        rows.append((r["group"] if r["first"] else "", ("*" if r["best"] else " ") + r["format"], r["params"], r["total"], r["chunk"], bar(r["dedup_ratio"]), r["xet"], bar(r["xet_dedup_ratio"])))
+        rows.append((r["group"] if r["first"] else "", ("*" if r["best"] else " ") + r["format"], r["params"], r["total"], r["chunk"], bar(r["dedup_ratio"]), r["bounded"], bar(r["bounded_dedup_ratio"])))
     width = [max(len(x[i]) for x in [head, *[r for r in rows if r]]) for i in range(len(head))]
     line = "-+-".join("-" * w for w in width)
     return "\n".join([" | ".join(h.ljust(w) for h, w in zip(head, width, strict=True)), line, *[line if r is None else " | ".join(c.ljust(w) for c, w in zip(r, width, strict=True)) for r in rows]])

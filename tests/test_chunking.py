@@ -102,7 +102,7 @@ def test_stats_of_nothing(spark):
 def test_estimate_of_a_file_twice_is_a_half(spark, files):
     folder, _ = files
     e = experiment.estimate(spark, [folder / "b", folder / "b"], images=True)
-    assert (e.numfiles, e.total_len, e.dedup_ratio, e.xet_dedup_ratio) == (2, 40_000, 0.5, 0.5)
+    assert (e.numfiles, e.total_len, e.dedup_ratio, e.bounded_dedup_ratio) == (2, 40_000, 0.5, 0.5)
     assert (folder / "b.png").read_bytes()[:4] == b"\x89PNG" and (folder / "merged.png").exists()
     listed = experiment.chunks(spark, [folder / "b", folder / "b"], store_data=True).collect()
     assert [r["seen_in"] for r in listed] == [[0, 1]] * len(listed) and all(r["first_seen_in"] == 0 for r in listed)
