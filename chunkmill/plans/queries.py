@@ -420,8 +420,6 @@ def best_ratio_per_group(spark, sf_dir):
     return results(spark, sf_dir).select("id", "grp", "ratio", (r == F.min(r).over(Window.partitionBy("grp"))).alias("best"))
 
 
-_STEPS = [0.5 + 0.5 * f for f in text.RATIO_STEPS]
-
 
 @query(f"WITH {_RESULTS} SELECT id, CASE " + " ".join(f"WHEN ratio <= 0.5::DOUBLE + 0.5::DOUBLE * {f}::DOUBLE THEN '{c}'" for f, c in zip(text.RATIO_STEPS, text.RATIO_COLORS, strict=False)) + f" ELSE '{text.RATIO_COLORS[-1]}' END AS color FROM res")
 def ratio_color_bucket(spark, sf_dir):
