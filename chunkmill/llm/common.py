@@ -60,10 +60,11 @@ def cut(df: DataFrame) -> DataFrame:
 _STORED: list[str] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as compressed Parquet in the shared folder; smaller than a checkpoint where rows hold large blobs. It stays until forget() or whoever owns the folder removes it."""
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """The rows as compressed Parquet in the shared folder; smaller than a checkpoint where rows hold large blobs. It stays until forget() removes it, or, if lasting, whoever owns the folder."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _STORED.append(path)
+    if not lasting:
+        _STORED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -1,4 +1,7 @@
-"""A training-data pipeline over the table documents: quality rules, near duplicates, repeated passages, mixing, packing."""
+"""A training-data pipeline over the table documents: quality rules, near duplicates, repeated passages, mixing, packing.
+
+A stage's result is written before the next stage begins, so each stage first removes what the one before kept aside.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkmill.llm import mixing, ngram_join, packing, quality, suffix_dedup
-from chunkmill.llm.common import documents, keyed, stored
+from chunkmill.llm.common import documents, forget, keyed, stored
 
 
 def _own(docs: DataFrame) -> DataFrame:
@@ -22,6 +25,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of alike documents the one with the least id stays."""
+    forget(spark)
     rows = _own(docs)
     found = ngram_join.grouped(rows).where("key = component").select(F.col("key").alias("_k"))
     return rows.join(found, F.col("key") == F.col("_k"), "left_semi").select(*[F.col("_d")[c].alias(c) for c in docs.columns])
@@ -33,6 +37,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A code point of which a cut leaves only some bytes goes whole. A null text stays null; a document of which nothing is
     left stays, empty.
     """
+    forget(spark)
     rows = _own(docs)
     schema = pa.schema([("key", pa.int64()), ("kept", pa.string())])
     kept = suffix_dedup.repeated(rows.select("key", "text"), suffix_dedup.rewritten, schema, "key long, kept string")
@@ -44,11 +49,13 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each document as many times as the mix takes it."""
+    forget(spark)
     return mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: the pieces of all documents in sequences."""
+    forget(spark)
     return packing.pack_documents(docs)
 
 
@@ -68,5 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder and read again by the next."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.split()[0])
+        docs = stored(stage(spark, docs, sf_dir), name.split()[0], lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)
