@@ -398,7 +398,8 @@ def grouped(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragmen
 
     1. Shingles' document frequencies are counted over all documents; the global order is by frequency, then hash. A
        document of whose set less than the threshold is shared with any other cannot link and is done with.
-    2. Equal sets are one representative from here on.
+    2. Equal sets are one representative from here on: copies of a block follow the block's first, which follows the least
+       of all blocks.
     3. Of each representative the rarest shingles that any linked set must share one of are posted. In a first round each
        posting is paired with its shingle's most central one alone (the one whose shingles are the most frequent); in a
        second all postings of a shingle that are not yet in one component are paired, but for those whose bitmaps rule a
@@ -413,7 +414,7 @@ def grouped(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragmen
     second = first.where(F.col("kind") == SETS).groupBy("bucket").applyInArrow(_representatives(n), _KINDS)
     second = stored(second, "representatives")
     ddl = "key long, doc_id long, n long, rep long"
-    members = _unpacked(first.where(F.col("kind") == MEMBERS), _MEMBERS, ddl).unionByName(_unpacked(second.where(F.col("kind") == MEMBERS), _MEMBERS, ddl))
+    early, members = (_unpacked(x.where(F.col("kind") == MEMBERS), _MEMBERS, ddl) for x in (first, second))
     reps = second.where(F.col("kind") == SETS).select("bucket", "blob")
     labels = spark.createDataFrame([], "key long, component long")
     links = None
@@ -432,7 +433,10 @@ def grouped(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragmen
             continue
         labels = components(links)
     full = members.join(labels.select(F.col("key").alias("rep"), "component"), "rep", "left")
-    return full.select("key", "doc_id", "n", F.coalesce("component", "rep").alias("component"))
+    full = full.select("key", "doc_id", "n", F.coalesce("component", "rep").alias("component"))
+    alone = early.where("key = rep").withColumnRenamed("rep", "component")
+    copies = early.where("key <> rep").join(full.select(F.col("key").alias("rep"), "component"), "rep").select(*full.columns)
+    return full.unionByName(alone).unionByName(copies)
 
 
 def joined(docs: DataFrame, **options) -> DataFrame:

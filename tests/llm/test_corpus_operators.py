@@ -177,6 +177,17 @@ def test_jaccard_components(monkeypatch, docs, none):
     assert ngram_join.joined(none).count() == 0
 
 
+def test_copies_of_a_block_follow_a_lesser_one_of_another(spark):
+    base = corpus()[0][1]
+    near = base.split(" ")
+    near[-1] = "changed"
+    both = [(5, base), (6, base), (9, " ".join(near)), (1, base), (0, " ".join(near)), (2, "other words alone in here")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(both, 2), "doc_id long, text string")
+    assert rows(ngram_join.joined(docs)) == sorted((r[:3] for r in linked(both)), key=repr)
+    copies = docs.where(F.col("doc_id").isin(1, 5, 6))
+    assert rows(ngram_join.joined(copies), "doc_id", "component_id") == [(1, 1), (5, 1), (6, 1)]
+
+
 def test_bitmaps_rule_out_no_link():
     rng = np.random.default_rng(4)
     for _ in range(200):
