@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, cut, documents, in_blocks, pack, shingled, small_batches, unpack, whole
+from .common import buckets, cut, documents, in_blocks, keyed, pack, shingled, small_batches, unpack, whole
 
 #: Permutations, and how many of them a band holds: 32 bands of 4 find a pair of likeness 0.8 with probability 1 - 5e-8.
 PERMUTATIONS, BAND = 128, 4
 WIDTH, LIKENESS = 5, 0.8
+#: Documents of a band's bucket that are paired in one slice.
+SLICE = 256
 #: A null id sorts first.
 LOWEST = -(1 << 63)
 
@@ -129,17 +131,18 @@ def op4_fingerprints(spark, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = LIKENESS, width: int = WIDTH) -> DataFrame:
-    """Verified pairs (a, b, jaccard) of representatives of equal shingle sets, found by MinHash bands.
+    """Verified pairs (a, b, jaccard) of documents' ids, found by MinHash bands: all pairs of different shingle sets, and each copy with the first of its set.
 
-    Documents of equal sets are first reduced to the least id. Within a band's bucket each document is paired with the
-    bucket's least id alone, not with all others, so copies do not multiply; pairs are verified on whole shingle sets. A
-    text without words is in no pair.
+    Of equal sets the first by id (null first), then text, stands for all; every other one is paired with it at 1, so
+    memberships are whole though copies do not multiply. Within a band's bucket all pairs of different sets whose sizes
+    allow the threshold are verified on whole sets; a large bucket is dealt as pairs of its slices. A text without words is
+    in no pair.
     """
     small_batches(docs.sparkSession)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
+            texts = [t.as_py() for t in batch.column(2)]
             for a, b in in_blocks(texts):
                 sig, n = signatures(texts[a:b], width)
                 h, _ = shingled(texts[a:b], width)
@@ -150,13 +153,21 @@ def near_duplicates(docs: DataFrame, threshold: float = LIKENESS, width: int = W
                     key = key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, k]
                 key = key * np.uint64(64) + np.arange(key.shape[1], dtype=np.uint64)
                 keep = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].take(pa.array(keep)), pa.array([sets[i] for i in keep], pa.list_(pa.int64())), pa.array([key[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], ["id", "shingles", "bands"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), whole().cast("binary")).where("doc_id is not null").mapInArrow(work, "id long, shingles array<long>, bands array<long>")
-    rows = cut(rows.withColumn("digest", F.sha2(F.array_join("shingles", ","), 256)).groupBy("digest").agg(F.min_by(F.struct("id", "shingles", "bands"), "id").alias("r")).select("r.*"))
-    keyed = rows.select("id", F.explode("bands").alias("band"))
-    first = keyed.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = keyed.join(first, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    left, right = (rows.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.withColumn("jaccard", F.col("common") / (F.size("sa") + F.size("sb") - F.col("common"))).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b].take(pa.array(keep)) for c in (0, 1)), pa.array([sets[i] for i in keep], pa.list_(pa.int64())), pa.array([key[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], ["key", "id", "shingles", "bands"])
+
+    every = keyed(docs).select("key", "doc_id", "text").mapInArrow(work, "key long, id long, shingles array<long>, bands array<long>")
+    every = cut(every.withColumn("digest", F.sha2(F.array_join("shingles", ","), 256)))
+    rows = cut(every.groupBy("digest").agg(F.min_by(F.struct("key", "id", "shingles", "bands"), "key").alias("r")).select("digest", "r.*"))
+    posted = rows.select("key", F.size("shingles").alias("n"), F.explode("bands").alias("band"))
+    slices = posted.groupBy("band").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"), F.count("*").alias("many")).where("many > 1")
+    posted = posted.join(slices, "band").withColumn("own", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
+    left = posted.select("band", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("slices") - 1)).alias("j"), F.col("key").alias("a"), F.col("n").alias("na"))
+    right = posted.select("band", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("key").alias("b"), F.col("n").alias("nb"))
+    fits = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-6
+    pairs = left.join(right, ["band", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one, two = (rows.select(F.col("key").alias(k), F.col("id").alias(f"id_{k}"), F.col("shingles").alias(f"s{k}")) for k in "ab")
+    both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    found = both.withColumn("jaccard", F.col("common") / (F.size("sa") + F.size("sb") - F.col("common"))).where(F.col("jaccard") >= threshold)
+    first = rows.select("digest", F.col("key").alias("_k"), F.col("id").alias("a"))
+    copies = every.select("digest", "key", F.col("id").alias("b")).join(first, "digest").where("key <> _k")
+    return found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "jaccard").unionByName(copies.select("a", "b", F.lit(1.0).alias("jaccard")))

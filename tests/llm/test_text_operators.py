@@ -174,3 +174,29 @@ def test_near_duplicates_are_verified(unique):
     for a, b, j in rows(fingerprints.near_duplicates(unique)):
         x, y = shingles(texts[a]), shingles(texts[b])
         assert abs(j - len(x & y) / len(x | y)) < 1e-9 and j >= 0.8
+
+
+def test_near_duplicates_are_all_pairs_and_copies(monkeypatch, spark):
+    monkeypatch.setattr(fingerprints, "SLICE", 3)
+    rng = random.Random(8)
+    base = [rng.choice("abcdefgh") + str(i) for i in range(400)]
+    texts = []
+    for i in range(12):
+        w = list(base)
+        for j in range(4 if i < 8 else 7):
+            w[(i * 31 + j * 57) % 400] = f"new{i}x{j}"
+        texts.append(" ".join(w))
+    docs = [*enumerate(texts), (20, texts[3]), (21, texts[3]), (None, texts[5]), (None, texts[5].upper()), (2, "another text of an id that is there twice"), (30, None)]
+    ordered = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    want, first = [], {}
+    for i, t in ordered:
+        s = frozenset(shingles(t))
+        if s and s in first:
+            want.append((first[s], i, 1.0))
+        elif s:
+            want += [(j, i, len(s & x) / len(s | x)) for x, j in first.items() if len(s & x) >= 0.8 * len(s | x)]
+            first[s] = i
+    assert len(want) > 30
+    got = rows(fingerprints.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)))
+    rounded = lambda x: sorted(((a, b, round(j, 9)) for a, b, j in x), key=repr)
+    assert rounded(got) == rounded(want)
