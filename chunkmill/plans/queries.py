@@ -490,6 +490,16 @@ def multidoc_cells(spark, sf_dir):
     return cells(few).groupBy("doc", "opacity", F.round("height", 4).alias("height")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_OCC}, c AS (SELECT hash, any_value(size) AS size, list(DISTINCT file_idx) AS seen, count(*) AS k FROM occ GROUP BY hash), l AS (SELECT list_sort(seen) AS seen, size, sum(k) AS k FROM c GROUP BY 1, 2), m AS (SELECT max(size) AS m FROM c), d AS (SELECT DISTINCT file_idx AS doc FROM occ)
+    SELECT doc, CASE WHEN NOT list_contains(seen, doc) THEN 0.15::DOUBLE WHEN len(seen) = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS opacity, round(least(greatest(size / m::DOUBLE * 10, 1.0), 10.0), 4) AS height, CAST(sum(k) AS BIGINT) AS n
+    FROM l, m, d GROUP BY 1, 2, 3""")
+def multidoc_cells_every_source(spark, sf_dir):
+    """Cells of the strips of all sources' blocks, counted by look."""
+    from .report import looks
+
+    return looks(occurrences(spark, sf_dir)).groupBy("doc", "opacity", F.round("height", 4).alias("height")).agg(F.sum("n").alias("n"))
+
+
 # ---- generators and files, which SQL does not have ----
 
 

@@ -84,6 +84,18 @@ def cells(occurrences: DataFrame) -> DataFrame:
     return each.select("file_idx", "ord", "hash", "doc", text.strip_color(F.col("doc")).alias("color"), text.cell_opacity(inside, F.size("seen_in")).alias("opacity"), text.cell_height(F.col("size"), F.col("largest")).alias("height"))
 
 
+def looks(occurrences: DataFrame) -> DataFrame:
+    """doc, opacity, height, n: how many of cells() look so, counted before chunks are multiplied by documents."""
+    from ..operators.dedup import merge
+
+    alike = merge(occurrences).groupBy("seen_in", "size").agg(F.sum("n").alias("n"))
+    ends = occurrences.agg(F.max("size").alias("largest"), F.sequence(F.lit(0).cast("long"), F.max("file_idx")).alias("docs"))
+    each = alike.crossJoin(F.broadcast(ends)).withColumn("doc", F.explode("docs"))
+    inside = F.array_contains("seen_in", F.col("doc"))
+    look = text.cell_opacity(inside, F.size("seen_in")).alias("opacity"), text.cell_height(F.col("size"), F.col("largest")).alias("height")
+    return each.select("doc", *look, "n").groupBy("doc", "opacity", "height").agg(F.sum("n").alias("n"))
+
+
 def strips_html(occurrences: DataFrame, path: str | Path | None = None) -> str:
     """Documents as vertical strips of their chunks."""
     out, last = ['<div style="display:flex;align-items:flex-end;gap:8px">'], None
