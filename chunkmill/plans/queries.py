@@ -15,6 +15,7 @@ from ..operators import chunking, dedup, edits, row_cdc, synthetic
 from ..operators.positions import with_positions
 from ..session import shared_folder
 from ..sources import parquet_pages
+from ..sources.listing import recursive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -515,22 +516,26 @@ def synthetic_schema_types(spark, sf_dir):
     return synthetic.generate(spark, {"a": "int", "b": "float", "c": "str", "d": "largestr", "e": "bool", "f": ["int"], "g": {"x": "int", "y": "str"}}, 1000)
 
 
-def _local(sf_dir: str, name: str) -> str | None:
+def _parts(sf_dir: str, name: str) -> list[str]:
+    """All files of a table: the one, or those that Spark reads of a folder."""
     path = Path(sf_dir) / f"{name}.parquet"
-    return str(path if path.is_file() else min(path.glob("*.parquet"))) if path.exists() else None
+    if not path.exists():
+        raise FileNotFoundError(path)
+    found = [path] if path.is_file() else [p for p in recursive(["*.parquet"], path) if p.is_file() and not any(x[0] in "_." for x in p.relative_to(path).parts)]
+    return [str(p) for p in found]
 
 
 @query()
 def file_bytes_dedup(spark, sf_dir):
-    """Chunks of the bytes of two files of the data set, the second one twice."""
-    paths = [_local(sf_dir, n) for n in ("orders", "lineitem", "lineitem")]
+    """Chunks of the bytes of two tables' files, the second one's twice."""
+    paths = [p for n in ("orders", "lineitem", "lineitem") for p in _parts(sf_dir, n)]
     return dedup.stats(chunking.file_chunks(spark, paths), compressed=True)
 
 
 @query()
 def parquet_page_sizes(spark, sf_dir):
-    """The pages of a Parquet file by column and type."""
-    pages = parquet_pages.parquet_pages(spark, [_local(sf_dir, "lineitem")])
+    """The pages of a table's Parquet files by column and type."""
+    pages = parquet_pages.parquet_pages(spark, _parts(sf_dir, "lineitem"))
     return pages.groupBy("column", "page_type").agg(F.count("*").alias("n"), F.sum("uncompressed_bytes").alias("bytes"), F.sum("num_values").alias("num_values"))
 
 

@@ -46,3 +46,12 @@ def test_cells_of_every_source(spark):
     got = QUERIES["multidoc_cells_every_source"](spark, DATA).groupBy("doc").sum("n").collect()
     sources = spark.read.parquet(f"{DATA}/documents.parquet").select("source").distinct().count()
     assert sources > 3 and {tuple(r) for r in got} == {(d, occ.count()) for d in range(sources)}
+
+
+def test_all_part_files_are_read(spark, tmp_path):
+    for t in ("orders", "lineitem"):
+        spark.read.parquet(f"{DATA}/{t}.parquet").repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+    size = {t: sum(p.stat().st_size for p in (tmp_path / f"{t}.parquet").glob("part-*")) for t in ("orders", "lineitem")}
+    assert QUERIES["file_bytes_dedup"](spark, str(tmp_path)).first()["total_len"] == size["orders"] + 2 * size["lineitem"]
+    pages = QUERIES["parquet_page_sizes"](spark, str(tmp_path)).where("page_type LIKE 'data%' AND column = 'l_orderkey'")
+    assert pages.agg({"num_values": "sum"}).first()[0] == spark.read.parquet(f"{DATA}/lineitem.parquet").count()
