@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JNetworkError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +43,12 @@ def whole(column: str = "text") -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one is set only where none is, as in tests."""
+    """The folder that the cluster shares; one is made only where none is set and all runs on one machine, as in tests."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
         sc = spark.sparkContext._jsc.sc()
         if sc.getCheckpointDir().isEmpty():
-            import tempfile
-
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chunkmill-"))
         found = sc.getCheckpointDir().get()
     elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -51,31 +56,74 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+class Scope:
+    """The tables that one run keeps in the shared folder. Results are computed from them, so close() is for when these have been read or written."""
+
+    def __init__(self) -> None:
+        self._kept: list = []
+
+    def own(self, spark: SparkSession, path: str) -> None:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._kept.append((jpath, spark.sparkContext._jsc.hadoopConfiguration()))
+
+    def close(self) -> None:
+        """Remove the tables."""
+        while self._kept:
+            path, conf = self._kept.pop()
+            path.getFileSystem(conf).delete(path, True)
+
+    @contextmanager
+    def active(self) -> Iterator[Scope]:
+        """What is kept inside the block belongs to this scope."""
+        token = _ACTIVE.set(self)
+        try:
+            yield self
+        finally:
+            _ACTIVE.reset(token)
+
+
+#: Owns what is kept outside any scope; removed when the process ends.
+_PROCESS = Scope()
+_ACTIVE: ContextVar[Scope] = ContextVar("scope", default=_PROCESS)
+
+
+def _at_exit() -> None:
+    try:
+        _PROCESS.close()
+    except (Py4JNetworkError, OSError):  # the JVM has gone first
+        pass
+
+
+atexit.register(_at_exit)
+
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    """A scope for a run: `with scope(): op5_suffix_dedup(spark, sf_dir).write...` leaves nothing in the shared folder."""
+    own = Scope()
+    try:
+        with own.active():
+            yield own
+    finally:
+        own.close()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder, so that no later step computes them again."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _ACTIVE.get().own(df.sparkSession, out._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    return out
 
 
-_STORED: list[str] = []
-
-
-def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
-    """The rows as compressed Parquet in the shared folder; smaller than a checkpoint where rows hold large blobs. It stays until forget() removes it, or, if lasting, whoever owns the folder."""
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as compressed Parquet in the shared folder, until the active scope closes; smaller than a checkpoint where rows hold large blobs."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not lasting:
-        _STORED.append(path)
+    _ACTIVE.get().own(df.sparkSession, path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Remove what stored() has written in this process; results that are still to be computed from it are lost."""
-    while _STORED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def pack(table: pa.Table | pa.RecordBatch) -> bytes:
     """A table as one compressed blob; one of plain numbers has a short head instead of Arrow's, since blobs can be small."""
     kinds = [f.type for f in table.schema]

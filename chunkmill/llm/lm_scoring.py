@@ -1,8 +1,9 @@
-"""Language-model scoring with a sharded Elias-Fano bigram trie."""
+"""Language-model scoring with an Elias-Fano n-gram trie, in parts by ranges of contexts."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,21 +11,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, documents, hashed_words, in_blocks, pack, small_batches, stored, unpack, whole
+from .common import buckets, documents, hashed_words, in_blocks, mix, pack, small_batches, stored, unpack, whole
 from .elias_fano import Trie, mapped
 
-#: Absolute discount of a seen pair's count.
-DISCOUNT = 0.9
+ORDER = 3
+#: A context that came T times gives PRIOR_SCALE * T^PRIOR_POWER, about its number of different successors, to the order below.
+PRIOR_SCALE, PRIOR_POWER = 1.0, 0.75
 #: Text that a task counts together.
 BLOCK_TEXT = 16 << 20
-#: A word with this share of all tokens is a context of its own buckets; there are at most 1/HEAVY such words.
-HEAVY = 1 / 512
-#: Bits of a context's and of a successor's hash in the trie.
+#: A context with over 1/SPLIT of a bucket's share of all tokens is dealt by successor over more buckets. It changes where a probability is computed, not its value.
+SPLIT = 4
+#: Bits of a context's and of a word's hash in the trie.
 CONTEXT_BITS, WORD_BITS = 48, 40
 #: Codes for each factor of ten; code 1 is probability 1, 0 is none. A probability is rounded down, so sums stay under 1.
 STEPS = 32
 
-END = np.uint64(0x5D8F1C3A9B7E6421)
+BEGIN, END = np.uint64(0x2B7E151628AED2A7), np.uint64(0x5D8F1C3A9B7E6421)
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
@@ -37,169 +39,279 @@ def quantised(p: np.ndarray) -> np.ndarray:
 VALUES = np.concatenate([[0.0], 10.0 ** -(np.arange(255) / STEPS)])
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Unsigned values in the fewest bytes that hold them all."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+@dataclass
 class Block:
-    """The tokens of some documents: `words`, their sorted distinct hashes, and `index`, each token's place in it."""
+    """The tokens of some documents: `words`, their sorted distinct hashes and the beginning's, and `index`, each token's place in it."""
+
+    doc_ids: list
+    held: np.ndarray
+    sizes: np.ndarray
+    words: np.ndarray
+    index: np.ndarray
 
-    def __init__(self, doc_ids: list, held: np.ndarray, texts: list[bytes]):
-        self.doc_ids, self.held = doc_ids, held
+    @classmethod
+    def of(cls, doc_ids: list, held: list, texts: list[bytes]) -> Block:
         found = [hashed_words(texts[a:b]) for a, b in in_blocks(texts)]
-        n = np.concatenate([f[1] for f in found])
-        self.sizes = n + 1
-        tokens = np.full(int(self.sizes.sum()), END, np.uint64)
-        ends = np.cumsum(self.sizes) - 1
+        sizes = np.concatenate([f[1] for f in found]) + 1
+        tokens = np.full(int(sizes.sum()) + 1, END, np.uint64)
         inner = np.ones(len(tokens), bool)
-        inner[ends] = False
+        inner[np.cumsum(sizes) - 1] = inner[-1] = False
         tokens[inner] = np.concatenate([f[0] for f in found])
-        self.words, self.index = np.unique(tokens, return_inverse=True)
-        self.train = np.repeat(~held, self.sizes)
+        tokens[-1] = BEGIN
+        words, index = np.unique(tokens, return_inverse=True)
+        return cls(doc_ids, np.array(held, bool), sizes, words, index[:-1])
+
+    def packed(self) -> bytes:
+        parts = [pack(pa.table({"doc_id": pa.array(self.doc_ids, pa.int64()), "held": self.held, "size": self.sizes})), pack(pa.table({"word": self.words}))]
+        return b"".join(len(p).to_bytes(8, "little") + p for p in parts) + pack(pa.table({"index": narrow(self.index)}))
+
+    @classmethod
+    def opened(cls, blob: bytes) -> Block:
+        a = 8 + int.from_bytes(blob[:8], "little")
+        b = a + 8 + int.from_bytes(blob[a : a + 8], "little")
+        docs = unpack(blob[8:a])
+        held = docs.column("held").to_numpy(zero_copy_only=False).astype(bool)
+        return cls(docs.column("doc_id").to_pylist(), held, docs.column("size").to_numpy(), unpack(blob[a + 8 : b]).column("word").to_numpy(), unpack(blob[b:]).column("index").to_numpy().astype(np.int64))
+
+    @property
+    def train(self) -> np.ndarray:
+        return np.repeat(~self.held, self.sizes)
+
+
+@dataclass
+class Grams:
+    """A block's distinct n-grams of one order, by context and word: places of the context among the order before and of the word among the words, a token that ends each, and for each token its n-gram (-1: the text has no such n-gram there)."""
+
+    context: np.ndarray
+    word: np.ndarray
+    token: np.ndarray
+    at: np.ndarray
+
+    def counts(self, which: np.ndarray) -> np.ndarray:
+        """How many of the tokens (a mask) each ends."""
+        some = self.at[which]
+        return np.bincount(some[some >= 0], minlength=len(self.word))
+
+
+def grams(x: Block, order: int) -> list[Grams]:
+    """The n-grams of orders 2 to order. The first token's context is the beginning; from order 3 on, an n-gram reaches back to the beginning at most."""
+    first = np.cumsum(x.sizes) - x.sizes
+    offset = np.arange(len(x.index)) - np.repeat(first, x.sizes)
+    before, n, out = np.append(0, x.index[:-1]), len(x.words), []
+    before[first] = np.searchsorted(x.words, BEGIN)
+    for k in range(2, order + 1):
+        own = np.flatnonzero(offset >= k - 2)
+        key = before[own] * n + x.index[own]
+        o = np.argsort(key)
+        key, own = key[o], own[o]
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
+        at = np.full(len(x.index), -1, np.int64)
+        at[own] = np.cumsum(new) - 1
+        out.append(Grams(key[new] // n, key[new] % n, own[new], at))
+        before = np.append(-1, at[:-1])
+    return out
+
+
+@dataclass
+class Layout:
+    """How a block's n-grams of one order go to the buckets: their places in the order of sending, where each bucket's begin, and the hashes of the contexts by place."""
+
+    rows: np.ndarray
+    bucket: np.ndarray
+    edges: np.ndarray
+    hashes: np.ndarray
+
+
+def layout(x: Block, g: Grams, hashes: np.ndarray, total: np.ndarray, heavy: np.ndarray, n: int, share: float) -> Layout:
+    """n-grams whose context came in training, by bucket, context and word. A context is dealt by its hash, and one that is heavy (bits of its count beyond 8) also by word, to so many buckets that each gets about `share` tokens of it at most."""
+    rows = np.flatnonzero(total[g.context] > 0)
+    context, word = g.context[rows], g.word[rows]
+    home = (hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+    parts = np.clip(np.exp2(heavy.astype(float) + 8) / max(share, 1), 1, n).astype(np.uint64)
+    parts[heavy == 0] = 1
+    part = (mix(x.words) >> np.uint64(32))[word] * parts[context] >> np.uint64(32)
+    bucket = ((home[context] + part) % np.uint64(n)).astype(np.int64)
+    rank = np.empty(len(hashes), np.int64)
+    rank[np.argsort(hashes)] = np.arange(len(hashes))
+    o = np.argsort((bucket * len(hashes) + rank[context]) * len(x.words) + word)
+    found, first = np.unique(bucket[o], return_index=True)
+    return Layout(rows[o], found, np.append(first, len(o)), hashes)
 
 
-def pairs(index: np.ndarray, sizes: np.ndarray, n_words: int) -> np.ndarray:
-    """Each token with the one before, as (place of the one before, plus 1; 0 at a text's beginning) * n_words + place."""
-    before = np.concatenate([[-1], index[:-1]])[: len(index)]
-    before[np.cumsum(sizes) - sizes] = -1
-    return (before + 1) * n_words + index
+_ROWS = "bucket int, block long, blob binary"
 
 
-def _blocks(rows: DataFrame, make, ddl: str) -> DataFrame:
-    """make(block id, Block) for all documents, in the order of the scan."""
-    small_batches(rows.sparkSession)
+def _batch(got: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], ["bucket", "block", "blob"])
+
 
+def _tokenised(block_text: int):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of documents in compact form."""
         first, n = TaskContext.get().partitionId() << 24, 0
-        ids, held, texts, total = [], [], [], 0
+        ids, held, texts, size = [], [], [], 0
         for batch in batches:
             for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if total and total + len(t.as_buffer()) > BLOCK_TEXT:
-                    yield make(first + n, Block(ids, np.array(held, bool), texts))
-                    n, ids, held, texts, total = n + 1, [], [], [], 0
+                if size and size + len(t.as_buffer()) > block_text:
+                    yield _batch([(0, first + n, Block.of(ids, held, texts).packed())])
+                    n, ids, held, texts, size = n + 1, [], [], [], 0
                 ids.append(i)
                 held.append(h)
                 texts.append(t.as_py())
-                total += len(texts[-1]) + 1
+                size += len(texts[-1]) + 1
         if ids:
-            yield make(first + n, Block(ids, np.array(held, bool), texts))
-
-    return rows.mapInArrow(work, ddl)
-
+            yield _batch([(0, first + n, Block.of(ids, held, texts).packed())])
 
-_ROWS = "bucket int, block long, blob binary"
-
-
-def _batch(got: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], ["bucket", "block", "blob"])
+    return work
 
 
-def _ranges(values: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n equal ranges of 64-bit values begins among the sorted values; n + 1 numbers."""
-    return np.searchsorted(values, np.array([min((i << 64) // n, (1 << 64) - 1) for i in range(n)], np.uint64)).tolist() + [len(values)]
+def _word_counts(n: int):
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's words with their counts, in training and held out, to the buckets of their hashes."""
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                x = Block.opened(blob)
+                count, every = (np.bincount(x.index[w], minlength=len(x.words)) for w in (x.train, slice(None)))
+                begin = np.searchsorted(x.words, BEGIN)
+                count[begin], every[begin] = (~x.held).sum(), len(x.held)
+                bucket = ((x.words >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+                found, first = np.unique(bucket, return_index=True)
+                yield _batch([(int(k), block, pack(pa.table({"step": np.diff(x.words[a:b], prepend=np.uint64(0)), "count": narrow(count[a:b]), "held": narrow((every - count)[a:b])}))) for k, a, b in zip(found, first, [*first[1:], len(bucket)], strict=True)])
 
+    return work
 
-def _word_counts(n: int):
-    def make(block: int, x: Block) -> pa.RecordBatch:
-        count = np.bincount(x.index[x.train], minlength=len(x.words)).astype(np.uint32)
-        cuts = _ranges(x.words, n)
-        return _batch([(k, block, pack(pa.table({"step": np.diff(x.words[a:b], prepend=np.uint64(0)), "count": count[a:b]}))) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
 
-    return make
+def _heavy(every: np.ndarray) -> np.ndarray:
+    """Bits of a count beyond 8."""
+    return np.maximum(np.frexp(every.astype(float))[1] - 8, 0).astype(np.uint8)
 
 
 def _count_words(key, table):
-    """The counts of a range of words: for each block those of its words, and on block -1 the range's sums and its commonest words."""
+    """For each block the counts of its words; on block -1 the bucket's sums, without the beginning."""
     parts = [unpack(b) for b in table.column("blob").to_pylist()]
     words = [np.cumsum(p.column("step").to_numpy(), dtype=np.uint64) for p in parts]
     seen, where = np.unique(np.concatenate(words), return_inverse=True)
-    count = np.zeros(len(seen), np.int64)
-    np.add.at(count, where, np.concatenate([p.column("count").to_numpy() for p in parts]).astype(np.int64))
+    count, held = (np.bincount(where, np.concatenate([p.column(c).to_numpy() for p in parts]), len(seen)).astype(np.int64) for c in ("count", "held"))
     edges = np.cumsum([0, *map(len, words)])
-    top = np.argsort(-count, kind="stable")[:64]
-    bucket = key[0].as_py()
-    out = [(bucket, block, pack(pa.table({"count": count[where[a:b]]}))) for block, a, b in zip(table.column("block").to_pylist(), edges[:-1], edges[1:], strict=True)]
-    sums = pa.table({"tokens": [int(count.sum())], "words": [int((count > 0).sum())], "top": [seen[top].tolist()], "top_count": [count[top].tolist()]}, schema=pa.schema([("tokens", pa.int64()), ("words", pa.int64()), ("top", pa.list_(pa.uint64())), ("top_count", pa.list_(pa.int64()))]))
+    bucket, real = key[0].as_py(), seen != BEGIN
+    heavy = _heavy(count + held)
+    out = [(bucket, block, pack(pa.table({"count": narrow(count[where[a:b]]), "heavy": heavy[where[a:b]]}))) for block, a, b in zip(table.column("block").to_pylist(), edges[:-1], edges[1:], strict=True)]
+    sums = pa.table({"tokens": [int(count[real].sum())], "words": [int((count[real] > 0).sum())], "every": [int((count + held)[real].sum())]})
     return pa.Table.from_batches([_batch([*out, (bucket, -1, pack(sums))])])
 
 
-def _message(context: np.ndarray, word: np.ndarray, count: np.ndarray) -> bytes:
-    """Pairs sorted by context and word, compactly: contexts as steps with how many words each has."""
-    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-    head = pa.table({"step": np.diff(context[first], prepend=np.uint64(0)), "n": np.diff(first, append=len(context)).astype(np.uint32)})
-    tail = pa.table({"high": (word >> np.uint64(8)).astype(np.uint32), "low": (word & np.uint64(255)).astype(np.uint8), "count": count.astype(np.uint32)})
-    a = pack(head)
-    return len(a).to_bytes(8, "little") + a + pack(tail)
-
-
-def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    head, tail = unpack(blob[8 : 8 + n]), unpack(blob[8 + n :])
-    return np.cumsum(head.column("step").to_numpy(), dtype=np.uint64), head.column("n").to_numpy().astype(np.int64), tail.column("high").to_numpy().astype(np.uint64) << np.uint64(8) | tail.column("low").to_numpy(), tail.column("count").to_numpy().astype(np.int64)
-
-
-def _heavy_places(words: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """Places, plus 1, of heavy words among the sorted words."""
-    at = np.searchsorted(words, heavy)
-    at = at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == heavy)]
-    return at + 1
-
-
-def _layout(n_words: int, pair: np.ndarray, places: np.ndarray, cuts: list[int], heavy_cuts: list[int]) -> list[np.ndarray]:
-    """For each bucket the positions of its pairs among the sorted pairs: contexts by range, then heavy contexts' pairs by range of the second word."""
-    before, word = pair // n_words, pair % n_words
-    heavy = np.isin(before, places)
-    light = np.flatnonzero(~heavy)
-    edges = np.searchsorted(before[light], [0, *[c + 1 for c in cuts[1:-1]], n_words + 1])
-    out = [light[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    rest = np.flatnonzero(heavy)
-    part = np.searchsorted(heavy_cuts[1:-1], word[rest], "right")
-    return out + [rest[part == k] for k in range(len(heavy_cuts) - 1)]
-
-
-def _pair_counts(n: int, n_heavy: int, heavy: np.ndarray):
-    def make(block: int, x: Block) -> pa.RecordBatch:
-        every = pairs(x.index, x.sizes, len(x.words))
-        pair = np.unique(every)
-        train = np.sort(every[x.train])
-        count = np.searchsorted(train, pair, "right") - np.searchsorted(train, pair)
-        layout = _layout(len(x.words), pair, _heavy_places(x.words, heavy), _ranges(x.words, n), _ranges(x.words, n_heavy))
-        context = np.concatenate([[np.uint64(0)], x.words >> np.uint64(64 - CONTEXT_BITS)])[pair // len(x.words)]
-        word = (x.words >> np.uint64(64 - WORD_BITS))[pair % len(x.words)]
-        return _batch([(k, block, _message(context[own], word[own], count[own])) for k, own in enumerate(layout) if len(own)])
+class Answered:
+    """A block with what the buckets have answered so far, for the orders up to `answered`: for each order the counts of its n-grams in training and how heavy they are, and from order 2 on codes and weights."""
+
+    def __init__(self, blob: bytes, answers: pa.Table, order: int, answered: int, n: int, share: float):
+        self.x = Block.opened(blob)
+        rows = sorted(zip(answers.column("level").to_pylist(), answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
+        got: dict[int, list[tuple[int, bytes]]] = {}
+        for level, bucket, b in rows:
+            got.setdefault(level, []).append((bucket, b))
+        words = [unpack(b) for _, b in got[1]]
+        self.count, self.heavy = ([np.concatenate([t.column(c).to_numpy() for t in words])] for c in ("count", "heavy"))
+        self.grams = grams(self.x, order)
+        self.layouts: list[Layout] = []
+        self.codes, self.weights = [], []
+        hashes = self.x.words
+        for k, g in enumerate(self.grams):
+            lay = layout(self.x, g, hashes, self.count[k], self.heavy[k], n, share)
+            self.layouts.append(lay)
+            hashes = mix(hashes[g.context] * np.uint64(0x9E3779B97F4A7C15) + self.x.words[g.word])
+            if k + 2 <= answered:
+                self._take(g, lay, got.get(k + 2, []))
+
+    def _take(self, g: Grams, lay: Layout, answers: list[tuple[int, bytes]]) -> None:
+        if [b for b, _ in answers] != lay.bucket.tolist():
+            raise RuntimeError("the answers to a block are not those that it asked for")
+        code, weight = np.zeros(len(g.word), np.uint8), np.zeros(len(lay.hashes), np.uint8)
+        count, heavy = np.zeros(len(g.word), np.int64), np.zeros(len(g.word), np.uint8)
+        for (_, blob), a, b in zip(answers, lay.edges[:-1], lay.edges[1:], strict=True):
+            own = lay.rows[a:b]
+            h = 8 + int.from_bytes(blob[:8], "little")
+            tail = unpack(blob[h:])
+            context = g.context[own]
+            weight[context[np.flatnonzero(np.diff(context, prepend=-1))]] = unpack(blob[8:h]).column("weight").to_numpy()
+            code[own] = tail.column("code").to_numpy()
+            if "count" in tail.column_names:
+                count[own], heavy[own] = tail.column("count").to_numpy(), tail.column("heavy").to_numpy()
+        self.codes.append(code)
+        self.weights.append(weight)
+        self.count.append(count)
+        self.heavy.append(heavy)
+
+
+def _ask(order: int, n: int, share: float):
+    def work(key, kept, answers):
+        """Each block's n-grams of the order to their buckets: contexts with their counts in training, and words with theirs."""
+        out = []
+        for block, blob in zip(kept.column("block").to_pylist(), kept.column("blob").to_pylist(), strict=True):
+            a = Answered(blob, answers, order, order - 1, n, share)
+            x, g, lay = a.x, a.grams[-1], a.layouts[-1]
+            count = g.counts(x.train)
+            held = g.counts(slice(None)) - count
+            short = lay.hashes >> np.uint64(64 - CONTEXT_BITS)
+            words = x.words >> np.uint64(64 - WORD_BITS)
+            for bucket, i, j in zip(lay.bucket.tolist(), lay.edges[:-1], lay.edges[1:], strict=True):
+                own = lay.rows[i:j]
+                context, word = g.context[own], words[g.word[own]]
+                first = np.flatnonzero(np.diff(context, prepend=-1))
+                head = pack(pa.table({"step": np.diff(short[context[first]], prepend=np.uint64(0)), "total": narrow(a.count[order - 2][context[first]]), "n": narrow(np.diff(first, append=len(own)))}))
+                tail = {"high": (word >> np.uint64(8)).astype(np.uint32), "low": (word & np.uint64(255)).astype(np.uint8), "count": narrow(count[own])}
+                out.append((bucket, block, len(head).to_bytes(8, "little") + head + pack(pa.table(tail | {"held": narrow(held[own])}))))
+        return pa.Table.from_batches([_batch(out)])
 
-    return make
+    return work
 
 
-def shard(context: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float = DISCOUNT) -> tuple[Trie, np.ndarray, np.ndarray]:
-    """A trie of pairs sorted by context and word, all counted at least once; and each context's count and number of successors."""
+def level(context: np.ndarray, total: np.ndarray, word: np.ndarray, count: np.ndarray) -> Trie:
+    """A trie of n-grams sorted by context and word, all counted at least once; total: the context's count."""
     first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.empty(0, np.int64)
-    kinds = np.diff(first, append=len(context))
-    total = np.add.reduceat(count, first) if len(first) else np.empty(0, np.int64)
-    codes = quantised((count - discount) / np.repeat(total, kinds))
-    return Trie.build(context[first], np.append(first, len(context)), word, codes, quantised(discount * kinds / np.maximum(total, 1)), WORD_BITS), total, kinds
+    prior = PRIOR_SCALE * total.astype(float) ** PRIOR_POWER
+    return Trie.build(context[first], np.append(first, len(context)), word, quantised(count / (total + prior)), quantised((prior / (total + prior))[first]))
 
 
-def _count_pairs(n: int):
+def _answer(last: bool):
     def work(key, table):
-        """Build this bucket's trie and answer each block from it; on block -1 the totals of heavy contexts."""
-        bucket = key[0].as_py()
-        parts = [_opened(b) for b in table.column("blob").to_pylist()]
-        context = np.concatenate([np.repeat(c, k) for c, k, _, _ in parts])
-        word = np.concatenate([p[2] for p in parts])
+        """Build this bucket's part of the trie and answer each block from it."""
+        heads, tails = [], []
+        for blob in table.column("blob").to_pylist():
+            h = 8 + int.from_bytes(blob[:8], "little")
+            heads.append(unpack(blob[8:h]))
+            tails.append(unpack(blob[h:]))
+        runs = [h.column("n").to_numpy().astype(np.int64) for h in heads]
+        context = np.concatenate([np.repeat(np.cumsum(h.column("step").to_numpy(), dtype=np.uint64), r) for h, r in zip(heads, runs, strict=True)])
+        total = np.concatenate([np.repeat(h.column("total").to_numpy(), r) for h, r in zip(heads, runs, strict=True)])
+        whole_ = lambda c: np.concatenate([t.column(c).to_numpy() for t in tails])
+        word = whole_("high").astype(np.uint64) << np.uint64(8) | whole_("low")
         o = np.lexsort((word, context))
-        cs, ws = context[o], word[o]
-        new = np.concatenate([[True], (cs[1:] != cs[:-1]) | (ws[1:] != ws[:-1])])
-        first = np.flatnonzero(new)
-        count = np.add.reduceat(np.concatenate([p[3] for p in parts])[o], first)
+        context, word = context[o], word[o]
+        fresh = np.concatenate([[True], context[1:] != context[:-1]])
+        first = np.flatnonzero(fresh | np.concatenate([[True], word[1:] != word[:-1]]))
+        times = np.diff(first, append=len(o))
+        count = np.add.reduceat(whole_("count")[o].astype(np.int64), first)
+        held = np.add.reduceat(whole_("held")[o].astype(np.int64), first)
+        context, word, total, fresh = context[first], word[first], total[o][first], np.flatnonzero(fresh[first])
         some = count > 0
-        trie, total, kinds = shard(cs[first][some], ws[first][some], count[some])
-        trie, folder = mapped(trie)
-        code = np.empty(len(o), np.uint8)
-        code[o] = np.repeat(trie.lookup(cs[first], ws[first]), np.diff(first, append=len(o)))
-        edges = np.cumsum([0, *[len(p[2]) for p in parts]])
-        out = []
-        for block, (own, k, _, _), a, b in zip(table.column("block").to_pylist(), parts, edges[:-1], edges[1:], strict=True):
-            head = pack(pa.table({"weight": trie.weight(own)[1], "n": k.astype(np.uint32)}))
-            out.append((bucket, block, len(head).to_bytes(8, "little") + head + pack(pa.table({"code": code[a:b]}))))
-        if bucket >= n:
-            out.append((bucket, -1, pack(pa.table({"context": trie.contexts.values(), "total": total, "kinds": kinds}))))
+        trie, folder = mapped(level(context[some], total[some], word[some], count[some]))
+        each = np.diff(fresh, append=len(context))
+        code, weight = trie.lookup(context[fresh], each, word)
+        spread = lambda v, t: _spread(v, times, o, t)
+        code, weight = spread(code, np.uint8), spread(np.repeat(weight, each), np.uint8)
+        if not last:
+            count, heavy = spread(count, np.int64), spread(_heavy(count + held), np.uint8)
+        out, at, bucket = [], 0, key[0].as_py()
+        for block, run in zip(table.column("block").to_pylist(), runs, strict=True):
+            own = slice(at, at := at + int(run.sum()))
+            head = pack(pa.table({"weight": weight[own][np.cumsum(run) - run]}))
+            tail = {"code": code[own]} | ({} if last else {"count": narrow(count[own]), "heavy": heavy[own]})
+            out.append((bucket, block, len(head).to_bytes(8, "little") + head + pack(pa.table(tail))))
         del trie
         folder.cleanup()
         return pa.Table.from_batches([_batch(out)])
@@ -207,105 +319,72 @@ def _count_pairs(n: int):
     return work
 
 
-def _kept_tokens(n: int, n_heavy: int, heavy: np.ndarray):
-    def make(block: int, x: Block) -> pa.RecordBatch:
-        docs = pack(pa.table({"doc_id": pa.array(x.doc_ids, pa.int64()), "held": x.held, "size": x.sizes}))
-        places = _heavy_places(x.words, heavy)
-        info = pack(pa.table({"cuts": pa.array([_ranges(x.words, n)]), "heavy_cuts": pa.array([_ranges(x.words, n_heavy)]), "places": pa.array([places.tolist()], pa.list_(pa.int64())), "contexts": pa.array([(x.words[places - 1] >> np.uint64(64 - CONTEXT_BITS)).tolist()], pa.list_(pa.uint64()))}))
-        tokens = pack(pa.table({"index": x.index.astype(np.int32)}))
-        blob = len(docs).to_bytes(8, "little") + len(info).to_bytes(8, "little") + docs + info + tokens
-        return _batch([(0, block, blob)])
-
-    return make
+def _spread(values: np.ndarray, times: np.ndarray, order: np.ndarray, kind) -> np.ndarray:
+    """Values of distinct n-grams, back in the order of asking."""
+    out = np.empty(len(order), kind)
+    out[order] = np.repeat(values, times)
+    return out
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _finished(n: int, tokens: int, words: int, heavy: dict[str, np.ndarray]):
-    """Put a block's answers to its tokens."""
-
+def _finished(order: int, n: int, share: float, tokens: int, words: int):
     def work(key, kept, answers):
+        """Put a block's answers together: from each order's probability and weight to the next."""
         out = []
         for blob in kept.column("blob").to_pylist():
-            a, b = (int.from_bytes(blob[i : i + 8], "little") for i in (0, 8))
-            docs, info, index = unpack(blob[16 : 16 + a]), unpack(blob[16 + a : 16 + a + b]).to_pylist()[0], unpack(blob[16 + a + b :]).column("index").to_numpy().astype(np.int64)
-            rows = sorted(zip(answers.column("level").to_pylist(), answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
-            count = np.concatenate([unpack(x).column("count").to_numpy() for level, _, x in rows if level == 1])
-            n_words, sizes = len(count), docs.column("size").to_numpy()
-            every = pairs(index, sizes, n_words)
-            pair = np.unique(every)
-            places = np.array(info["places"], np.int64)
-            layout = _layout(n_words, pair, places, info["cuts"], info["heavy_cuts"])
-            p, weight = np.zeros(len(pair)), np.ones(len(pair))
-            before = pair // n_words
-            for level, bucket, x in rows:
-                if level == 2:
-                    h = int.from_bytes(x[:8], "little")
-                    head, code = unpack(x[8 : 8 + h]), unpack(x[8 + h :]).column("code").to_numpy()
-                    own = layout[bucket]
-                    assert len(own) == len(code), "the documents did not come in the same order again"
-                    p[own] = VALUES[code]
-                    if bucket < n:
-                        w = head.column("weight").to_numpy()
-                        weight[own] = np.repeat(np.where(w > 0, VALUES[w], 1.0), head.column("n").to_numpy())
-                    else:
-                        slot = np.searchsorted(places, before[own])
-                        at = np.searchsorted(heavy["context"], np.array(info["contexts"], np.uint64))[slot]
-                        p[own] *= heavy["share"][at, bucket - n]
-                        weight[own] = heavy["weight"][at]
-            low = (count + 1) / (tokens + words + 1)
-            full = p + weight * low[pair % n_words]
-            log = np.log10(full)[np.searchsorted(pair, every)]
-            edge = np.cumsum(sizes) - sizes
+            a = Answered(blob, answers, order, order, n, share)
+            x = a.x
+            low = (a.count[0] + 1) / (tokens + words + 1)
+            p, at = low, x.index
+            token = low[x.index]
+            for g, code, weight in zip(a.grams, a.codes, a.weights, strict=True):
+                p = VALUES[code] + np.where(weight > 0, VALUES[weight], 1.0)[g.context] * p[at[g.token]]
+                at = g.at
+                token[at >= 0] = p[at[at >= 0]]
+            edge = np.cumsum(x.sizes) - x.sizes
             out.append(pa.table({
-                "doc_id": docs.column("doc_id"), "held_out": docs.column("held"), "n_tokens": sizes, "n_known": np.add.reduceat((count > 0)[index].astype(np.int64), edge),
-                "train_tokens": np.full(len(sizes), tokens, np.int64), "base_score": np.add.reduceat(np.log10(low)[index], edge), "score": np.add.reduceat(log, edge),
+                "doc_id": pa.array(x.doc_ids, pa.int64()), "held_out": x.held, "n_tokens": x.sizes, "n_known": np.add.reduceat((a.count[0] > 0)[x.index].astype(np.int64), edge),
+                "train_tokens": np.full(len(x.sizes), tokens, np.int64), "base_score": np.add.reduceat(np.log10(low)[x.index], edge), "score": np.add.reduceat(np.log10(token), edge),
             }))
         return pa.concat_tables(out)
 
     return work
 
 
-def score(docs: DataFrame, held_out) -> DataFrame:
-    """Score whole texts under a bigram model of the documents for which the column held_out is false.
+def score(docs: DataFrame, held_out, order: int = ORDER, block_text: int = BLOCK_TEXT, split: float = SPLIT) -> DataFrame:
+    """Score whole texts under an n-gram model of the documents for which the column held_out is false.
+
+    p(w | context) = c(context, w) / (T + m) + m / (T + m) * p(w | context without its first word), where T is the
+    context's count and m = PRIOR_SCALE * T^PRIOR_POWER; the lowest order is the base score's add-one p(w). A text begins
+    with a mark of the beginning and ends with one end token. The first term and the weight are kept as 8-bit codes in a
+    trie for each order, in parts by ranges of contexts.
 
-    p(w | v) = (c(v,w) - DISCOUNT) / c(v) + DISCOUNT * kinds(v) / c(v) * p(w), with the add-one p(w) of the base score; a
-    text begins in a context of its own and ends with one end token. The first term and the weight are kept as 8-bit
-    codes in tries, one for each range of contexts; a context with over HEAVY of all tokens is dealt by successor over
-    its own buckets, and its totals, of at most 1/HEAVY words, are put together afterwards. No task holds the model: each
-    block of documents sends its distinct words and pairs once, with their counts in training texts, to the buckets,
-    which sum, build and answer.
+    Texts are read once and kept as blocks of tokens. Order by order, each block sends its distinct n-grams, with its
+    counts and with the contexts' counts that it got with the order before, to buckets, which sum, build their part of
+    the trie and answer. A context's count is known before its successors are dealt, so a heavy context can be dealt over
+    many buckets, and a value does not depend on how n-grams are dealt. No task holds the model, and none is broadcast.
 
-    Three passes read docs, which must come in the same order each time, as a table does; pass another result through a
-    written table. A null or empty text is its end token alone; a null doc_id stays null and is in training; repeated
-    rows count and are scored each; an empty table gives no rows; with no training text the model is the base.
+    A null or empty text is its end token alone; a null doc_id stays null; a null held_out is false; repeated rows count
+    and are scored each; an empty table gives no rows; with no training text the model is the base. Other columns are not
+    read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = 2 * buckets(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), whole().cast("binary").alias("text"))
-    first = stored(_blocks(rows, _word_counts(n), _ROWS).groupBy("bucket").applyInArrow(_count_words, _ROWS), "words")
-    tokens = words = 0
-    common: list[tuple[int, int]] = []
-    for r in first.where("block = -1").select("blob").toLocalIterator():
-        s = unpack(bytes(r[0])).to_pylist()[0]
-        tokens, words = tokens + s["tokens"], words + s["words"]
-        common = sorted([*common, *zip(s["top_count"], s["top"], strict=True)], reverse=True)[: int(1 / HEAVY)]
-    heavy = np.array(sorted(w for c, w in common if c >= max(1, HEAVY * tokens) and w != int(END)), np.uint64)
-    n_heavy = 1 << max(0, (n // 2 - 1).bit_length())
-    second = stored(_blocks(rows, _pair_counts(n, n_heavy, heavy), _ROWS).groupBy("bucket").applyInArrow(_count_pairs(n), _ROWS), "pairs")
-    context = np.sort(heavy >> np.uint64(64 - CONTEXT_BITS))
-    total, kinds = np.zeros((len(context), n_heavy)), np.zeros((len(context), n_heavy))
-    for r in second.where("block = -1").select("bucket", "blob").toLocalIterator():
-        t = unpack(bytes(r[1]))
-        at = np.searchsorted(context, t.column("context").to_numpy())
-        total[at, r[0] - n] = t.column("total").to_numpy()
-        kinds[at, r[0] - n] = t.column("kinds").to_numpy()
-    whole_total = total.sum(axis=1)
-    table = {"context": context, "share": total / np.maximum(whole_total, 1)[:, None], "weight": np.where(whole_total > 0, DISCOUNT * kinds.sum(axis=1) / np.maximum(whole_total, 1), 1.0)}
-    answers = first.where("block >= 0").select("block", "bucket", "blob", F.lit(1).alias("level")).unionByName(second.where("block >= 0").select("block", "bucket", "blob", F.lit(2).alias("level")))
-    kept = _blocks(rows, _kept_tokens(n, n_heavy, heavy), _ROWS)
-    return kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finished(n, tokens, words, table), OUT)
+    blocks = stored(rows.mapInArrow(_tokenised(block_text), _ROWS), "tokens")
+    words = stored(blocks.mapInArrow(_word_counts(n), _ROWS).groupBy("bucket").applyInArrow(_count_words, _ROWS), "words")
+    sums = [unpack(bytes(r[0])).to_pylist()[0] for r in words.where("block = -1").select("blob").collect()]
+    tokens, kinds, every = (sum(s[k] for s in sums) for k in ("tokens", "words", "every"))
+    share = every / (split * n)
+    answers = words.where("block >= 0").withColumn("level", F.lit(1))
+    for k in range(2, order + 1):
+        asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ask(k, n, share), _ROWS)
+        got = stored(asked.groupBy("bucket").applyInArrow(_answer(k == order), _ROWS), f"order{k}")
+        answers = answers.unionByName(got.withColumn("level", F.lit(k)))
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finished(order, n, share, tokens, kinds), OUT)
 
 
 def held_out(modulus: int = 7, rest: int = 2):

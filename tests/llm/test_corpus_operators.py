@@ -4,6 +4,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from chunkmill.llm import lm_scoring, mixing, ngram_join, packing, quality, suffix_dedup
+from chunkmill.llm.common import checkpoint_dir, scope
 from chunkmill.llm.components import components
 from chunkmill.llm.deep_shallow import sort_suffixes
 from chunkmill.llm.elias_fano import EliasFano, Trie, mapped
@@ -77,42 +79,74 @@ def test_elias_fano_and_trie():
         q = np.sort(rng.integers(0, top, 500, dtype=np.uint64))
         at, equal = e.successors(q)
         assert (e.values() == v).all() and (at == np.searchsorted(v, q)).all() and (equal == np.isin(q, v)).all()
-    context, word = np.array([3, 3, 9], np.uint64), np.array([1, 5, 5], np.uint64)
-    trie, total, kinds = lm_scoring.shard(context, word, np.array([1, 3, 2]))
-    trie, folder = mapped(trie)
-    assert total.tolist() == [4, 2] and kinds.tolist() == [2, 1]
-    code = trie.lookup(np.array([3, 3, 3, 4, 9], np.uint64), np.array([1, 2, 5, 5, 5], np.uint64))
-    assert [c > 0 for c in code.tolist()] == [True, False, True, False, True]
-    assert np.all(lm_scoring.VALUES[code[[0, 2, 4]]] <= np.array([0.1 / 4, 2.1 / 4, 1.1 / 2]) + 1e-12)
+        some = np.flatnonzero(rng.random(n) < 0.3)
+        assert (e.at(some) == v[some]).all()
+
+
+def test_trie_finds_what_it_holds_and_nothing_else():
+    rng = np.random.default_rng(2)
+    pairs = np.unique(np.stack([rng.choice([5, 9, 40, 1 << 40], 400), rng.integers(0, 300, 400) << 7], 1), axis=0).astype(np.uint64)
+    held, context, word = rng.random(len(pairs)) < 0.5, *pairs.T
+    held &= context != 40
+    own, first = np.unique(context[held], return_index=True)
+    codes = rng.integers(1, 256, held.sum()).astype(np.uint8)
+    trie, folder = mapped(Trie.build(own, np.append(first, held.sum()), word[held], codes, np.array([1, 2, 3], np.uint8)))
+    asked, n = np.unique(context, return_counts=True)
+    found, weights = trie.lookup(asked, n, word)
+    want = np.zeros(len(pairs), np.uint8)
+    want[held] = codes
+    assert found.tolist() == want.tolist() and weights.tolist() == [1, 2, 0, 3]
     del trie
     folder.cleanup()
-    assert isinstance(Trie.build(context[:0], np.zeros(1, np.int64), word[:0], code[:0], code[:0], 40), Trie)
+    nothing = Trie.build(own[:0], np.zeros(1, np.int64), word[:0], codes[:0], codes[:0])
+    assert [x.tolist() for x in nothing.lookup(asked, n, word)] == [[0] * len(pairs), [0] * 4]
 
 
-@pytest.mark.parametrize("heavy", [1 / 512, 1 / 20])
-def test_scores(monkeypatch, docs, none, heavy):
-    monkeypatch.setattr(lm_scoring, "HEAVY", heavy)
-    monkeypatch.setattr(lm_scoring, "BLOCK_TEXT", 20_000)
+def quantum(p):
+    """A probability as the trie keeps it."""
+    return 10 ** -(min(math.ceil(-math.log10(p) * 32 - 1e-9), 254) / 32) if p else 0.0
+
+
+def want_scores(order):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     every = [(i, [*(t or "").encode().lower().split(), 0]) for i, t, _, _ in corpus()]
-    one, two, kinds, total = Counter(), Counter(), Counter(), Counter()
+    one, many = Counter(), Counter()
     for i, toks in every:
         if not held(i):
             one.update(toks)
-            two.update(zip([1, *toks[:-1]], toks, strict=True))
-    for (a, _), n in two.items():
-        kinds[a] += 1
-        total[a] += n
+            many.update(tuple([1, *toks][max(0, j - k) : j + 1]) for j in range(len(toks) + 1) for k in range(order) if j - k >= 0)
     n, v = sum(one.values()), len(one)
-    want = []
+
+    def p(gram):
+        if len(gram) == 1:
+            return (one[gram[0]] + 1) / (n + v + 1)
+        if not (total := many[gram[:-1]]):
+            return p(gram[1:])
+        prior = total**0.75
+        return quantum(many[gram] / (total + prior)) + quantum(prior / (total + prior)) * p(gram[1:])
+
     for i, toks in every:
         low = [(one[w] + 1) / (n + v + 1) for w in toks]
-        high = [max(two[a, w] - 0.9, 0) / total[a] + 0.9 * kinds[a] / total[a] * p if total[a] else p for a, w, p in zip([1, *toks[:-1]], toks, low, strict=True)]
-        want.append((i, held(i), len(toks), sum(one[w] > 0 for w in toks), n, sum(map(math.log10, low)), sum(map(math.log10, high))))
+        high = [p(tuple([1, *toks][max(0, j + 2 - order) : j + 2])) for j in range(len(toks))]
+        yield i, held(i), len(toks), sum(one[w] > 0 for w in toks), n, sum(map(math.log10, low)), sum(map(math.log10, high))
+
+
+@pytest.mark.parametrize("order,options", [(3, {}), (3, {"block_text": 20_000, "split": 1000.0}), (3, {"block_text": 2_000}), (2, {}), (4, {"block_text": 50_000, "split": 0.01})])
+def test_scores_do_not_depend_on_how_work_is_dealt(spark, docs, order, options):
     key = lambda r: (r[0] is not None, r[0] or 0, round(r[5], 6))
-    got = sorted((tuple(r) for r in lm_scoring.score(docs, lm_scoring.held_out()).collect()), key=key)
-    for a, b in zip(got, sorted(want, key=key), strict=True):
-        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 and b[6] - a[2] / 32 - 1e-6 <= a[6] <= b[6] + 1e-6
+    want = sorted(want_scores(order), key=key)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("2", "4", "13") if options else ("5",):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got = sorted((tuple(r) for r in lm_scoring.score(docs, lm_scoring.held_out(), order, **options).collect()), key=key)
+            for a, b in zip(got, want, strict=True):
+                assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-9, rel=1e-9)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_scores_of_odd_tables(docs, none):
     assert lm_scoring.score(none, lm_scoring.held_out()).count() == 0
     base = lm_scoring.score(docs, F.lit(True)).collect()
     assert all(r["train_tokens"] == 0 and r["score"] == pytest.approx(r["base_score"]) for r in base)
@@ -270,7 +304,20 @@ def test_stages_against_brute_force(spark, docs, tmp_path):
     assert packed(stages["packing"](spark, table, str(tmp_path)).collect(), [t for _, t in ordered]) == 0
 
 
-def test_whole_pipeline(spark, docs, tmp_path):
+def test_runs_own_what_they_keep(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    got = corpus_pipeline.run(spark, str(tmp_path))
-    assert got.count() > 0 and {"doc_id", "start", "length", "sequence_id"} <= {*got.columns}
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    kept = {*folder.rglob("*")}
+    with scope():
+        held = suffix_dedup.op5_suffix_dedup(spark, str(tmp_path))
+        with scope():
+            got = corpus_pipeline.run(spark, str(tmp_path))
+            assert got.count() > 0 and {"doc_id", "start", "length", "sequence_id"} <= {*got.columns}
+        assert held.count() == docs.count()
+    corpus_pipeline.release()
+    assert {*folder.rglob("*")} <= kept
+
+
+def test_pipeline_of_nothing(spark, none, tmp_path):
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
