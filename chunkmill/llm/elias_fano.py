@@ -57,7 +57,7 @@ class EliasFano:
 
     def at(self, places: np.ndarray) -> np.ndarray:
         """The values at ascending places."""
-        out = np.empty(len(places), np.uint64)
+        out = np.zeros(len(places), np.uint64)
         edges = np.searchsorted(places, np.arange(0, self.n + CHUNK, CHUNK)).tolist()
         for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if b > a:
@@ -97,10 +97,12 @@ class Trie:
 
     @classmethod
     def build(cls, contexts: np.ndarray, first: np.ndarray, words: np.ndarray, codes: np.ndarray, weights: np.ndarray) -> Trie:
-        """contexts: ascending; first: where the successors of each begin among words, and their number; words: ascending for each context."""
+        """contexts: ascending; first: where the successors of each, if any, begin among words, and their number; words: ascending for each context."""
         vocabulary, number = np.unique(words, return_inverse=True)
         number = number.astype(np.uint64) + np.uint64(1)
-        base = np.concatenate([np.zeros(1, np.uint64), np.cumsum(number[first[1:] - 1], dtype=np.uint64)[:-1]]) if len(contexts) else np.empty(0, np.uint64)
+        last = np.zeros(len(contexts), np.uint64)
+        last[np.diff(first) > 0] = number[first[1:][np.diff(first) > 0] - 1]
+        base = np.cumsum(last, dtype=np.uint64) - last
         levels = (vocabulary, contexts, first, number + np.repeat(base, np.diff(first)))
         return cls(*map(EliasFano.build, levels), codes, weights)
 
@@ -136,8 +138,7 @@ class Trie:
             return codes, weights
         some, back = np.unique(rank[known], return_inverse=True)
         begin, end = self.pointers.at(some).astype(np.int64), self.pointers.at(some + 1).astype(np.int64)
-        base = np.where(begin > 0, self.words.at(np.maximum(begin - 1, 0)), np.uint64(0))
-        top = self.words.at(end - 1)
+        base, top = (np.where(x > 0, self.words.at(np.maximum(x - 1, 0)), np.uint64(0)) for x in (begin, end))
         distinct, which = np.unique(words, return_inverse=True)
         number, there = self.vocabulary.successors(distinct)
         mine = np.repeat(known, n) & there[which]

@@ -67,8 +67,13 @@ class Block:
         return cls(doc_ids, np.array(held, bool), sizes, words, index[:-1])
 
     def packed(self) -> bytes:
-        parts = [pack(pa.table({"doc_id": pa.array(self.doc_ids, pa.int64()), "held": self.held, "size": self.sizes})), pack(pa.table({"word": self.words}))]
-        return b"".join(len(p).to_bytes(8, "little") + p for p in parts) + pack(pa.table({"index": narrow(self.index)}))
+        """Words by frequency, so that most places are small, and places as planes of bytes."""
+        o = np.argsort(-np.bincount(self.index, minlength=len(self.words)), kind="stable")
+        rank = np.empty(len(o), np.uint32)
+        rank[o] = np.arange(len(o))
+        planes = rank[self.index].view(np.uint8).reshape(-1, 4)
+        parts = [pack(pa.table({"doc_id": pa.array(self.doc_ids, pa.int64()), "held": self.held, "size": self.sizes})), pack(pa.table({"word": self.words[o]}))]
+        return b"".join(len(p).to_bytes(8, "little") + p for p in parts) + pack(pa.table({str(k): np.ascontiguousarray(planes[:, k]) for k in range(4)}))
 
     @classmethod
     def opened(cls, blob: bytes) -> Block:
@@ -76,7 +81,12 @@ class Block:
         b = a + 8 + int.from_bytes(blob[a : a + 8], "little")
         docs = unpack(blob[8:a])
         held = docs.column("held").to_numpy(zero_copy_only=False).astype(bool)
-        return cls(docs.column("doc_id").to_pylist(), held, docs.column("size").to_numpy(), unpack(blob[a + 8 : b]).column("word").to_numpy(), unpack(blob[b:]).column("index").to_numpy().astype(np.int64))
+        words, planes = unpack(blob[a + 8 : b]).column("word").to_numpy(), unpack(blob[b:])
+        place = np.stack([planes.column(str(k)).to_numpy() for k in range(4)], 1).view(np.uint32).ravel()
+        o = np.argsort(words)
+        rank = np.empty(len(o), np.int64)
+        rank[o] = np.arange(len(o))
+        return cls(docs.column("doc_id").to_pylist(), held, docs.column("size").to_numpy(), words[o], rank[place])
 
     @property
     def train(self) -> np.ndarray:
@@ -117,30 +127,43 @@ def grams(x: Block, order: int) -> list[Grams]:
     return out
 
 
+@dataclass
+class Known:
+    """What a block knows of its n-grams of one order: hashes, counts in training, how heavy they are (bits of their counts beyond 8), and which no other block has."""
+
+    hashes: np.ndarray
+    count: np.ndarray
+    heavy: np.ndarray
+    alone: np.ndarray
+
+
 @dataclass
 class Layout:
-    """How a block's n-grams of one order go to the buckets: their places in the order of sending, where each bucket's begin, and the hashes of the contexts by place."""
+    """How a block's n-grams of one order go to the buckets: their places in the order of sending, the buckets, and where each bucket's begin."""
 
     rows: np.ndarray
     bucket: np.ndarray
     edges: np.ndarray
-    hashes: np.ndarray
 
 
-def layout(x: Block, g: Grams, hashes: np.ndarray, total: np.ndarray, heavy: np.ndarray, n: int, share: float) -> Layout:
-    """n-grams whose context came in training, by bucket, context and word. A context is dealt by its hash, and one that is heavy (bits of its count beyond 8) also by word, to so many buckets that each gets about `share` tokens of it at most."""
-    rows = np.flatnonzero(total[g.context] > 0)
-    context, word = g.context[rows], g.word[rows]
-    home = (hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
-    parts = np.clip(np.exp2(heavy.astype(float) + 8) / max(share, 1), 1, n).astype(np.uint64)
-    parts[heavy == 0] = 1
-    part = (mix(x.words) >> np.uint64(32))[word] * parts[context] >> np.uint64(32)
-    bucket = ((home[context] + part) % np.uint64(n)).astype(np.int64)
-    rank = np.empty(len(hashes), np.int64)
-    rank[np.argsort(hashes)] = np.arange(len(hashes))
-    o = np.argsort((bucket * len(hashes) + rank[context]) * len(x.words) + word)
+def layout(x: Block, g: Grams, below: Known, suffix: np.ndarray, n: int, share: float) -> Layout:
+    """n-grams that other blocks may have too and whose context came in training, by bucket, context and word.
+
+    An n-gram is this block's alone if its context or its suffix, places of the order below, is. A context is dealt by its
+    hash, and a heavy one also by word, to so many buckets that each gets about `share` tokens of it at most.
+    """
+    rows = np.flatnonzero((below.count > 0)[g.context] & ~below.alone[g.context] & ~below.alone[suffix])
+    own, word = g.context[rows], g.word[rows]
+    home = (below.hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+    parts = np.clip(np.exp2(below.heavy.astype(float) + 8) / max(share, 1), 1, n).astype(np.uint64)
+    parts[below.heavy == 0] = 1
+    part = (mix(x.words) >> np.uint64(32))[word] * parts[own] >> np.uint64(32)
+    bucket = ((home[own] + part) % np.uint64(n)).astype(np.int64)
+    rank = np.empty(len(home), np.int64)
+    rank[np.argsort(below.hashes)] = np.arange(len(home))
+    o = np.argsort((bucket * len(home) + rank[own]) * len(x.words) + word)
     found, first = np.unique(bucket[o], return_index=True)
-    return Layout(rows[o], found, np.append(first, len(o)), hashes)
+    return Layout(rows[o], found, np.append(first, len(o)))
 
 
 _ROWS = "bucket int, block long, blob binary"
@@ -200,51 +223,65 @@ def _count_words(key, table):
     edges = np.cumsum([0, *map(len, words)])
     bucket, real = key[0].as_py(), seen != BEGIN
     heavy = _heavy(count + held)
-    out = [(bucket, block, pack(pa.table({"count": narrow(count[where[a:b]]), "heavy": heavy[where[a:b]]}))) for block, a, b in zip(table.column("block").to_pylist(), edges[:-1], edges[1:], strict=True)]
+    alone = np.bincount(where) == 1
+    out = [(bucket, block, pack(pa.table({"count": narrow(count[where[a:b]]), "heavy": heavy[where[a:b]], "alone": alone[where[a:b]].view(np.uint8)}))) for block, a, b in zip(table.column("block").to_pylist(), edges[:-1], edges[1:], strict=True)]
     sums = pa.table({"tokens": [int(count[real].sum())], "words": [int((count[real] > 0).sum())], "every": [int((count + held)[real].sum())]})
     return pa.Table.from_batches([_batch([*out, (bucket, -1, pack(sums))])])
 
 
 class Answered:
-    """A block with what the buckets have answered so far, for the orders up to `answered`: for each order the counts of its n-grams in training and how heavy they are, and from order 2 on codes and weights."""
+    """A block with what the buckets have answered for the orders up to `answered`: `known` of each order, and `codes` of the n-grams from order 2 on (0: also those that the block has alone)."""
 
     def __init__(self, blob: bytes, answers: pa.Table, order: int, answered: int, n: int, share: float):
         self.x = Block.opened(blob)
         rows = sorted(zip(answers.column("level").to_pylist(), answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
         got: dict[int, list[tuple[int, bytes]]] = {}
-        for level, bucket, b in rows:
-            got.setdefault(level, []).append((bucket, b))
+        for k, bucket, b in rows:
+            got.setdefault(k, []).append((bucket, b))
         words = [unpack(b) for _, b in got[1]]
-        self.count, self.heavy = ([np.concatenate([t.column(c).to_numpy() for t in words])] for c in ("count", "heavy"))
+        self.known = [Known(self.x.words, *(np.concatenate([t.column(c).to_numpy() for t in words]) for c in ("count", "heavy", "alone")))]
+        self.known[0].alone = self.known[0].alone.astype(bool)
         self.grams = grams(self.x, order)
         self.layouts: list[Layout] = []
-        self.codes, self.weights = [], []
-        hashes = self.x.words
+        self.codes: list[np.ndarray] = []
+        at = self.x.index
         for k, g in enumerate(self.grams):
-            lay = layout(self.x, g, hashes, self.count[k], self.heavy[k], n, share)
+            context = self.known[k]
+            lay = layout(self.x, g, context, at[g.token], n, share)
             self.layouts.append(lay)
-            hashes = mix(hashes[g.context] * np.uint64(0x9E3779B97F4A7C15) + self.x.words[g.word])
+            at = g.at
             if k + 2 <= answered:
-                self._take(g, lay, got.get(k + 2, []))
+                self._take(g, context, lay, got.get(k + 2, []), last=k + 2 == order == answered)
 
-    def _take(self, g: Grams, lay: Layout, answers: list[tuple[int, bytes]]) -> None:
+    def _take(self, g: Grams, context: Known, lay: Layout, answers: list[tuple[int, bytes]], last: bool) -> None:
         if [b for b, _ in answers] != lay.bucket.tolist():
             raise RuntimeError("the answers to a block are not those that it asked for")
-        code, weight = np.zeros(len(g.word), np.uint8), np.zeros(len(lay.hashes), np.uint8)
-        count, heavy = np.zeros(len(g.word), np.int64), np.zeros(len(g.word), np.uint8)
-        for (_, blob), a, b in zip(answers, lay.edges[:-1], lay.edges[1:], strict=True):
-            own = lay.rows[a:b]
-            h = 8 + int.from_bytes(blob[:8], "little")
-            tail = unpack(blob[h:])
-            context = g.context[own]
-            weight[context[np.flatnonzero(np.diff(context, prepend=-1))]] = unpack(blob[8:h]).column("weight").to_numpy()
-            code[own] = tail.column("code").to_numpy()
-            if "count" in tail.column_names:
-                count[own], heavy[own] = tail.column("count").to_numpy(), tail.column("heavy").to_numpy()
+        tails = [unpack(b) for _, b in answers]
+        answer = lambda c: np.concatenate([np.empty(0, np.uint8), *(t.column(c).to_numpy() for t in tails)])
+        code = np.zeros(len(g.word), np.uint8)
+        code[lay.rows] = answer("code")
         self.codes.append(code)
-        self.weights.append(weight)
-        self.count.append(count)
-        self.heavy.append(heavy)
+        if last:
+            return
+        hashes = mix(context.hashes[g.context] * np.uint64(0x9E3779B97F4A7C15) + self.x.words[g.word])
+        count, alone = g.counts(self.x.train), np.ones(len(g.word), bool)
+        heavy = _heavy(g.counts(slice(None)))
+        count[lay.rows], heavy[lay.rows], alone[lay.rows] = answer("count"), answer("heavy"), answer("alone").astype(bool)
+        self.known.append(Known(hashes, count, heavy, alone))
+
+    def probabilities(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the n-grams at place k, their probabilities' first terms, and their contexts' weights: those that the block has alone, and all weights, from a trie of the block's own."""
+        g, context, lay = self.grams[k], self.known[k], self.layouts[k]
+        mine = np.ones(len(g.word), bool)
+        mine[lay.rows] = False
+        count = g.counts(self.x.train)
+        held = mine & (count > 0)
+        trie, folder = mapped(level(np.arange(len(context.count)), context.count, g.context[held], g.word[held].astype(np.uint64), count[held]))
+        code, weight = trie.lookup(np.arange(len(context.count), dtype=np.uint64), np.bincount(g.context, minlength=len(context.count)), g.word.astype(np.uint64))
+        code[lay.rows] = self.codes[k][lay.rows]
+        del trie
+        folder.cleanup()
+        return VALUES[code], np.where(context.count > 0, VALUES[weight], 1.0)
 
 
 def _ask(order: int, n: int, share: float):
@@ -253,16 +290,16 @@ def _ask(order: int, n: int, share: float):
         out = []
         for block, blob in zip(kept.column("block").to_pylist(), kept.column("blob").to_pylist(), strict=True):
             a = Answered(blob, answers, order, order - 1, n, share)
-            x, g, lay = a.x, a.grams[-1], a.layouts[-1]
+            x, g, lay, context = a.x, a.grams[-1], a.layouts[-1], a.known[-1]
             count = g.counts(x.train)
             held = g.counts(slice(None)) - count
-            short = lay.hashes >> np.uint64(64 - CONTEXT_BITS)
+            short = context.hashes >> np.uint64(64 - CONTEXT_BITS)
             words = x.words >> np.uint64(64 - WORD_BITS)
             for bucket, i, j in zip(lay.bucket.tolist(), lay.edges[:-1], lay.edges[1:], strict=True):
                 own = lay.rows[i:j]
-                context, word = g.context[own], words[g.word[own]]
-                first = np.flatnonzero(np.diff(context, prepend=-1))
-                head = pack(pa.table({"step": np.diff(short[context[first]], prepend=np.uint64(0)), "total": narrow(a.count[order - 2][context[first]]), "n": narrow(np.diff(first, append=len(own)))}))
+                before, word = g.context[own], words[g.word[own]]
+                first = np.flatnonzero(np.diff(before, prepend=-1))
+                head = pack(pa.table({"step": np.diff(short[before[first]], prepend=np.uint64(0)), "total": narrow(context.count[before[first]]), "n": narrow(np.diff(first, append=len(own)))}))
                 tail = {"high": (word >> np.uint64(8)).astype(np.uint32), "low": (word & np.uint64(255)).astype(np.uint8), "count": narrow(count[own])}
                 out.append((bucket, block, len(head).to_bytes(8, "little") + head + pack(pa.table(tail | {"held": narrow(held[own])}))))
         return pa.Table.from_batches([_batch(out)])
@@ -270,11 +307,13 @@ def _ask(order: int, n: int, share: float):
     return work
 
 
-def level(context: np.ndarray, total: np.ndarray, word: np.ndarray, count: np.ndarray) -> Trie:
-    """A trie of n-grams sorted by context and word, all counted at least once; total: the context's count."""
-    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.empty(0, np.int64)
-    prior = PRIOR_SCALE * total.astype(float) ** PRIOR_POWER
-    return Trie.build(context[first], np.append(first, len(context)), word, quantised(count / (total + prior)), quantised((prior / (total + prior))[first]))
+def level(contexts: np.ndarray, totals: np.ndarray, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> Trie:
+    """A trie of contexts, ascending, with their counts, and n-grams by their context's place and by word, all counted at least once."""
+    totals = totals.astype(float)
+    prior = PRIOR_SCALE * totals**PRIOR_POWER
+    first = np.searchsorted(context, np.arange(len(contexts) + 1))
+    weight = quantised(np.divide(prior, totals + prior, out=np.ones(len(totals)), where=totals > 0))
+    return Trie.build(contexts, first, word, quantised(count / (totals + prior)[context]), weight)
 
 
 def _answer(last: bool):
@@ -297,21 +336,18 @@ def _answer(last: bool):
         times = np.diff(first, append=len(o))
         count = np.add.reduceat(whole_("count")[o].astype(np.int64), first)
         held = np.add.reduceat(whole_("held")[o].astype(np.int64), first)
-        context, word, total, fresh = context[first], word[first], total[o][first], np.flatnonzero(fresh[first])
+        word, fresh = word[first], np.flatnonzero(fresh[first])
+        context, total, each = context[first][fresh], total[o][first][fresh], np.diff(fresh, append=len(first))
         some = count > 0
-        trie, folder = mapped(level(context[some], total[some], word[some], count[some]))
-        each = np.diff(fresh, append=len(context))
-        code, weight = trie.lookup(context[fresh], each, word)
-        spread = lambda v, t: _spread(v, times, o, t)
-        code, weight = spread(code, np.uint8), spread(np.repeat(weight, each), np.uint8)
+        trie, folder = mapped(level(context, total, np.repeat(np.arange(len(each)), each)[some], word[some], count[some]))
+        code = _spread(trie.lookup(context, each, word)[0], times, o)
         if not last:
-            count, heavy = spread(count, np.int64), spread(_heavy(count + held), np.uint8)
+            count, heavy, alone = (_spread(v, times, o) for v in (count, _heavy(count + held), times == 1))
         out, at, bucket = [], 0, key[0].as_py()
         for block, run in zip(table.column("block").to_pylist(), runs, strict=True):
             own = slice(at, at := at + int(run.sum()))
-            head = pack(pa.table({"weight": weight[own][np.cumsum(run) - run]}))
-            tail = {"code": code[own]} | ({} if last else {"count": narrow(count[own]), "heavy": heavy[own]})
-            out.append((bucket, block, len(head).to_bytes(8, "little") + head + pack(pa.table(tail))))
+            more = {} if last else {"count": narrow(count[own]), "heavy": heavy[own], "alone": alone[own].view(np.uint8)}
+            out.append((bucket, block, pack(pa.table({"code": code[own]} | more))))
         del trie
         folder.cleanup()
         return pa.Table.from_batches([_batch(out)])
@@ -319,9 +355,9 @@ def _answer(last: bool):
     return work
 
 
-def _spread(values: np.ndarray, times: np.ndarray, order: np.ndarray, kind) -> np.ndarray:
+def _spread(values: np.ndarray, times: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Values of distinct n-grams, back in the order of asking."""
-    out = np.empty(len(order), kind)
+    out = np.empty(len(order), values.dtype)
     out[order] = np.repeat(values, times)
     return out
 
@@ -336,16 +372,17 @@ def _finished(order: int, n: int, share: float, tokens: int, words: int):
         for blob in kept.column("blob").to_pylist():
             a = Answered(blob, answers, order, order, n, share)
             x = a.x
-            low = (a.count[0] + 1) / (tokens + words + 1)
+            low = (a.known[0].count + 1) / (tokens + words + 1)
             p, at = low, x.index
             token = low[x.index]
-            for g, code, weight in zip(a.grams, a.codes, a.weights, strict=True):
-                p = VALUES[code] + np.where(weight > 0, VALUES[weight], 1.0)[g.context] * p[at[g.token]]
+            for k, g in enumerate(a.grams):
+                seen, weight = a.probabilities(k)
+                p = seen + weight[g.context] * p[at[g.token]]
                 at = g.at
                 token[at >= 0] = p[at[at >= 0]]
             edge = np.cumsum(x.sizes) - x.sizes
             out.append(pa.table({
-                "doc_id": pa.array(x.doc_ids, pa.int64()), "held_out": x.held, "n_tokens": x.sizes, "n_known": np.add.reduceat((a.count[0] > 0)[x.index].astype(np.int64), edge),
+                "doc_id": pa.array(x.doc_ids, pa.int64()), "held_out": x.held, "n_tokens": x.sizes, "n_known": np.add.reduceat((a.known[0].count > 0)[x.index].astype(np.int64), edge),
                 "train_tokens": np.full(len(x.sizes), tokens, np.int64), "base_score": np.add.reduceat(np.log10(low)[x.index], edge), "score": np.add.reduceat(np.log10(token), edge),
             }))
         return pa.concat_tables(out)
@@ -363,7 +400,8 @@ def score(docs: DataFrame, held_out, order: int = ORDER, block_text: int = BLOCK
 
     Texts are read once and kept as blocks of tokens. Order by order, each block sends its distinct n-grams, with its
     counts and with the contexts' counts that it got with the order before, to buckets, which sum, build their part of
-    the trie and answer. A context's count is known before its successors are dealt, so a heavy context can be dealt over
+    the trie and answer. What a block has alone, for its context or its suffix came in no other block, it keeps in a part
+    of the trie of its own. A context's count is known before its successors are dealt, so a heavy context can be dealt over
     many buckets, and a value does not depend on how n-grams are dealt. No task holds the model, and none is broadcast.
 
     A null or empty text is its end token alone; a null doc_id stays null; a null held_out is false; repeated rows count
