@@ -1,4 +1,6 @@
-"""Short public licence texts, as commonly published."""
+"""Public licence texts, as commonly published; the long ones are the files of licenses_full, by identifier."""
+
+from importlib.resources import files
 
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -122,3 +124,5 @@ freely, subject to the following restrictions:
 3. This notice may not be removed or altered from any source distribution.
 """,
 }
+
+LICENSES |= {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in files(__package__).joinpath("licenses_full").iterdir() if f.name.endswith(".txt")}

@@ -8,47 +8,70 @@ from pyspark.sql import functions as F
 from .common import documents, whole
 from .license_texts import LICENSES
 
-#: Spellings that count as equal (public matching guidelines of software licence lists).
+#: Spellings that count as equal (public matching guidelines of software licence lists), with their plurals and the like.
 SPELLINGS = {
     "acknowledgment": "acknowledgement",
+    "acknowledgments": "acknowledgements",
     "analogue": "analog",
     "analyse": "analyze",
     "artefact": "artifact",
+    "artefacts": "artifacts",
     "authorisation": "authorization",
     "authorised": "authorized",
     "calibre": "caliber",
     "cancelled": "canceled",
     "capitalisations": "capitalizations",
     "catalogue": "catalog",
+    "catalogues": "catalogs",
     "categorise": "categorize",
     "centre": "center",
+    "centres": "centers",
     "copyright holder": "copyright owner",
+    "copyright holders": "copyright owners",
     "emphasised": "emphasized",
     "favour": "favor",
     "favourite": "favorite",
-    "fulfil ": "fulfill ",
+    "favours": "favors",
+    "fulfil": "fulfill",
     "fulfilment": "fulfillment",
     "initialise": "initialize",
     "judgment": "judgement",
+    "judgments": "judgements",
     "labelling": "labeling",
     "labour": "labor",
     "licence": "license",
+    "licenced": "licensed",
+    "licencee": "licensee",
+    "licencees": "licensees",
+    "licences": "licenses",
+    "licencing": "licensing",
     "maximise": "maximize",
     "modelled": "modeled",
     "modelling": "modeling",
     "non commercial": "noncommercial",
     "offence": "offense",
+    "offences": "offenses",
     "optimise": "optimize",
     "organisation": "organization",
+    "organisations": "organizations",
     "organise": "organize",
+    "organised": "organized",
     "per cent": "percent",
     "practise": "practice",
     "programme": "program",
+    "programmes": "programs",
     "realise": "realize",
     "recognise": "recognize",
+    "recognised": "recognized",
     "signalling": "signaling",
+    "sub licence": "sublicense",
     "sub license": "sublicense",
+    "sub licenses": "sublicenses",
+    "sublicence": "sublicense",
+    "sublicences": "sublicenses",
     "utilisation": "utilization",
+    "utilise": "utilize",
+    "utilised": "utilized",
     "whilst": "while",
     "wilful": "wilfull",
 }
@@ -57,13 +80,18 @@ SPELLINGS = {
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n©]*((portions )?copyright[ \t]*(\(c\)|©|<year>|\[year\]|\[yyyy\]|[0-9]{4}|by )|\(c\)[ \t]*[0-9]{4}|©|all rights reserved\W*$)[^\n]*$"
 
 
+def _bounded(words: str) -> str:
+    """Words between the blanks that each has on both sides."""
+    return f" {words.replace(' ', '  ')} "
+
+
 def canonical(text: Column) -> Column:
     """A text in canonical form: lower case, without copyright lines, letters and digits only with single blanks between, and one spelling."""
     t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
-    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
     for a, b in SPELLINGS.items():
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return F.trim(t)
+        t = F.replace(t, F.lit(_bounded(a)), F.lit(_bounded(b)))
+    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -98,10 +126,10 @@ def op1_licenses(spark, sf_dir: str) -> DataFrame:
 def _sql(text: str) -> str:
     pattern = COPYRIGHT_LINE.replace("'", "''")
     t = f"regexp_replace(lower({text}), '{pattern}', '', 'g')"
-    t = f"' ' || trim(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    t = f"' ' || trim(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' '"
     for a, b in SPELLINGS.items():
-        t = f"replace({t}, '{a}', '{b}')"
-    return f"sha256(trim({t}))"
+        t = f"replace({t}, '{_bounded(a)}', '{_bounded(b)}')"
+    return f"sha256(trim(replace({t}, '  ', ' ')))"
 
 
 def oracle() -> str:
