@@ -31,8 +31,8 @@ def n_words(column: str = "text"):
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_COPIES, share: float = 1.0) -> DataFrame:
     """Target of each source (source, source_size): weights in turn over the sources by code point, null last; a target over cap times its source's size stops there and its excess goes to the others by weight, until none is above.
 
-    One row for each source; the sums over the sources are windows without a key, so only their number matters. The
-    level that ends the resharing is found at once: sources by cap per weight, and the first at which those before it,
+    One row of a name and a few numbers for each source; the sums over the sources are windows without a key, so one task
+    sorts that many rows, spilling: 10^7 sources are about 1 GB. The level that ends the resharing is found at once: sources by cap per weight, and the first at which those before it,
     taken at their caps, leave a level below its own cap.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
@@ -162,7 +162,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     joined = left.join(t, left["_id"].eqNullSafe(t["_tid"]) & (left["_digest"] == t["_tdigest"]) & left["_source"].eqNullSafe(t["_tsource"]))
     numbered = joined.withColumn("_k", F.when(F.col("rows") == 1, 1).otherwise(F.row_number().over(Window.partitionBy("_id", "_digest", "_source").orderBy(F.lit(0)))))
     each = F.floor(F.col("n") / F.col("rows")) + (F.col("_k") <= F.col("n") % F.col("rows")).cast("long")
-    return numbered.withColumn("_take", each).where("_take > 0").select(F.explode(F.array_repeat(F.lit(0), F.col("_take").cast("int"))), *own).drop("col")
+    return numbered.select("d", F.explode(F.array_repeat(F.lit(0), each.cast("int")))).select(*own)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
