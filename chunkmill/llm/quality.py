@@ -99,20 +99,22 @@ def judged(docs: DataFrame) -> DataFrame:
     10 words, or over a fifth of the words in repeated 5-word windows. Else a document is kept if each measure is within
     its group's bounds; a measure without a value (no word) rejects nothing by itself. Texts are never shuffled, unless
     there are more than BROADCAST_GROUPS groups. A null text counts as empty (and fails), null languages and sources are
-    groups of their own, repeated rows are judged each and alike, an empty table gives no rows, other columns stay.
+    groups of their own, repeated rows are judged each and alike, an empty table gives no rows, other columns stay, but for
+    those named as the three that are added.
     """
     limits = cut(thresholds(docs))
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "_b")
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
-    m = _measured(docs, repeats=True)
+    m = _measured(docs.select(F.struct("*").alias("_d"), "lang", "source", "text"), repeats=True)
     both = m.join(limits, m["lang"].eqNullSafe(F.col("_lang")) & m["source"].eqNullSafe(F.col("_source")), "left")
+    own = [F.col("_d")[c].alias(c) for c in docs.columns if c not in ("_m", "base_failed", "kept")]
     mm, b = F.col("_m"), F.col("_b")
     failed = (mm["n_words"] < 10) | (100 * mm["n_repeat_words"] > 20 * mm["n_words"])
     out = F.lit(False)
     for k in SLACK:
         out = out | F.coalesce((mm[k] < b[k]["low"]) | (mm[k] > b[k]["high"]), F.lit(False))
-    return both.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~out).drop("_lang", "_source", "_b")
+    return both.select(*own, "_m", failed.alias("base_failed"), (~failed & ~out).alias("kept"))
 
 
 def filtered(docs: DataFrame) -> DataFrame:
