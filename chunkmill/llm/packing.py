@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOCK_BYTES, documents, in_blocks, small_batches, whole
-from .tokenizing import TOKENIZERS, cached
+from .tokenizing import cached, vocabulary
 
 #: Context sizes. All are powers of two, so that a full window of any tier needs no padding.
 TIERS = (512, 1024, 2048, 4096)
@@ -123,7 +123,7 @@ def _steps(windows: list[tuple[int, list]], first: int, step_tokens: int) -> tup
     return out, first
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = f"{TOKENIZERS}/word_bpe_49k.json", tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, step_tokens: int = STEP_TOKENS, group_tokens: int = GROUP_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, step_tokens: int = STEP_TOKENS, group_tokens: int = GROUP_TOKENS, with_ids: bool = False) -> DataFrame:
     """Pack documents (doc_id, text) into sequences by hierarchical multi-length packing.
 
     Each partition is packed by itself, without a shuffle: documents are tokenized, an end id is added, and Packer fills
@@ -136,7 +136,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = f"{TOKENIZERS}/word_bpe_49k
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = cached(tokenizer), Packer(tiers)
+        encoder, packer = cached(tokenizer or vocabulary("word_bpe_49k.json")), Packer(tiers)
         base, made, step = TaskContext.get().partitionId() << 32, 0, TaskContext.get().partitionId() << 32
         docs_by_key: dict[int, tuple] = {}
         key = pending = 0

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_blocks, documents, small_batches, whole
-from .tokenizing import TOKENIZERS
+from .tokenizing import vocabulary
 
 #: A word that no sequence of pieces makes up counts as one unknown token.
 UNKNOWN_TOKENS = 1
@@ -32,16 +32,17 @@ def printable_bytes() -> dict[str, int]:
 
 
 def pieces(path: str) -> tuple[set[bytes], set[bytes]]:
-    """A byte-level vocabulary's pieces that begin a word (those with a leading blank) and those that continue one."""
+    """A byte-level vocabulary's pieces that begin a word (those with a leading blank, which is left out; of the blank alone nothing is left) and those that continue one."""
     table = printable_bytes()
     words = [bytes(table[c] for c in w) for w in json.load(open(path, encoding="utf-8"))["model"]["vocab"] if all(c in table for c in w)]
-    return {w[1:] for w in words if w[:1] == b" " and len(w) > 1}, {w for w in words if w and w[:1] != b" "}
+    return {w[1:] for w in words if w[:1] == b" "}, {w for w in words if w and w[:1] != b" "}
 
 
 class Automaton:
     """Counts the pieces of a word's greedy longest match in one pass over its bytes, without building them.
 
-    The trie holds the pieces that begin a word from its root and those that continue one from a second root. A node's
+    The trie holds the pieces that begin a word from its root and those that continue one from a second root. An empty
+    first piece is the blank before the word as a token of its own, taken where no longer one begins the word. A node's
     failure link leads to the node for what is left of its string once the longest pieces are taken from its front, and
     `popped` is how many that takes; -1 where that ends in a dead end. So each byte either goes down the trie or pops a
     precomputed number of pieces, and the work is linear in the word.
@@ -64,6 +65,8 @@ class Automaton:
                 final[at] = True
         self.fail = [-1] * len(self.go)
         self.popped = [0] * len(self.go)
+        if final[self.ROOT]:
+            self.fail[self.ROOT], self.popped[self.ROOT] = self.NEXT, 1
         queue = deque([0, 1])
         while queue:
             at = queue.popleft()
@@ -105,7 +108,7 @@ def automaton(path: str) -> Automaton:
     return _LOADED[path]
 
 
-def count_tokens(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json", limit: int = 250_000) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 250_000) -> DataFrame:
     """Rows doc_id, n_words, n_tokens: greedy word-piece lengths of whole texts.
 
     Words are runs of bytes other than ASCII white space. Each distinct word runs through the automaton once for a
@@ -115,7 +118,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.
     small_batches(docs.sparkSession)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, known = automaton(vocabulary), {}
+        count, known = automaton(path or vocabulary("byte_bpe_50k.json")), {}
         for batch in batches:
             texts = [t.as_py() for t in batch.column(1)]
             for a, b in in_blocks(texts):

@@ -7,12 +7,16 @@ from unicodedata import normalize
 
 import numpy as np
 
-#: Where the vocabulary files of public tokenizers lie, unless a caller names another place.
-TOKENIZERS = "/opt/tokenizers"
-
 _MARKS = b".,!?%*&$#;:"
 
-_LOADED: dict[tuple, CachedTokenizer] = {}
+_LOADED: dict[str, CachedTokenizer] = {}
+
+
+def vocabulary(name: str) -> str:
+    """Where a vocabulary file of the public tokenizers lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def halves(word: bytes) -> tuple[bytes, bytes] | None:
@@ -106,4 +110,6 @@ def cached(path: str) -> CachedTokenizer:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return _LOADED.setdefault((path,), None) or _LOADED.__setitem__((path,), CachedTokenizer(path)) or _LOADED[path,]
+    if path not in _LOADED:
+        _LOADED[path] = CachedTokenizer(path)
+    return _LOADED[path]
