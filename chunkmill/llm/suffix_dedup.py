@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import blobs, buckets, dealt, documents, gathered, in_blocks, keyed, mix, small_batches, stored, unpack
 from .deep_shallow import sort_suffixes
 
-#: Bytes of a repeated string.
+#: Bytes of a repeated string; 65,535 at most.
 LENGTH = 100
 #: Bytes of the anchor that stands for all strings around it: of each string's anchors, the one with the least hash.
 ANCHOR = 32
@@ -103,7 +103,7 @@ def _later(keys: tuple[np.ndarray, ...], doc: np.ndarray, at: np.ndarray) -> tup
     return o, np.concatenate([[False], same])[: len(o)]
 
 
-_SEG = {"m": np.uint64, "c": np.uint64, "doc": np.int64, "lo": np.int32, "n": np.uint8, "flags": np.uint8}
+_SEG = {"m": np.uint64, "c": np.uint64, "doc": np.int64, "lo": np.int32, "n": np.uint16, "flags": np.uint8}
 #: What a row holds: a blob of segments by anchor; a span to remove, a candidate, both by document; a string's bytes by anchor; a blob of digests by string.
 SEGMENTS, SPAN, CANDIDATE, STRING, DIGESTS = range(5)
 #: Flags of a segment: it can repeat itself; its anchor is hot.
