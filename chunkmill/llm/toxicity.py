@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, hashed_words, in_blocks, small_batches, whole
@@ -19,7 +19,8 @@ FEATURES = 1 << 18
 PREFIXES = (4, 6)
 #: Weight of the sum of absolute weights, which keeps words without a bearing at nought.
 L1 = 5e-5
-STEPS = 400
+#: Most steps of the fit, and the share of the loss that CHECKED steps must gain for it to go on.
+STEPS, LEAST_GAIN, CHECKED = 400, 1e-4, 10
 #: A word must come in so many documents of the sample.
 LEAST_DOCS = 3
 
@@ -53,7 +54,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(slots: np.ndarray, counts: np.ndarray, grades: np.ndarray, l1: float = L1, steps: int = STEPS, least_docs: int = LEAST_DOCS) -> OrdinalModel:
-    """Fit by accelerated proximal gradient on the mean log loss; with one grade only, that grade is certain."""
+    """Fit by accelerated proximal gradient on the mean log loss, until it hardly falls; with one grade only, that grade is certain."""
     levels = sorted(set(grades.tolist()))
     if len(levels) < 2:
         return OrdinalModel(levels or [0], np.empty(0), np.zeros(FEATURES, np.float32))
@@ -71,15 +72,22 @@ def fit(slots: np.ndarray, counts: np.ndarray, grades: np.ndarray, l1: float = L
     per_doc = np.bincount(doc, minlength=n)
     curve = np.bincount(col, weights=np.sqrt(per_doc[doc]), minlength=len(used)) / n * np.sqrt(max(1.0, per_doc.mean())) / 4 + 1e-3
     sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    some, begin = np.unique(doc, return_index=True)
+    o = np.argsort(col, kind="stable")
+    by_word, word_begin = doc[o], np.searchsorted(col[o], np.arange(len(used)))
     ahead, old, t = w.copy(), w.copy(), 1.0
-    for _ in range(steps):
-        score = np.bincount(doc, weights=ahead[col], minlength=n)
+    score, losses = np.zeros(n), []
+    for _ in range(steps if len(used) else 0):
+        score[some] = np.add.reduceat(ahead[col], begin)
         edges = np.hstack([np.full(1, -np.inf), cuts, np.full(1, np.inf)])
         lo, hi = sigma(edges[y] - score), sigma(edges[y + 1] - score)
         p = np.maximum(hi - lo, 1e-12)
         d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
         by_score = (d_hi - d_lo) / n
-        grad = np.bincount(col, weights=by_score[doc], minlength=len(used))
+        grad = np.add.reduceat(by_score[by_word], word_begin)
+        losses.append(l1 * np.abs(ahead).sum() - np.log(p).mean())
+        if len(losses) > CHECKED and losses[-1 - CHECKED] - losses[-1] < LEAST_GAIN * losses[-1]:
+            break
         step = ahead - 0.5 * grad / curve
         new = np.sign(step) * np.maximum(np.abs(step) - 0.5 * l1 / curve, 0)
         d_cut = np.array([(-d_hi[y == j].sum() + d_lo[y == j + 1].sum()) / n for j in range(k)])
@@ -93,17 +101,20 @@ def fit(slots: np.ndarray, counts: np.ndarray, grades: np.ndarray, l1: float = L
     return OrdinalModel(levels, cuts, weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs: int = SAMPLE_DOCS, held_out: int = 0) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, label: Column | str = "toxic", sample_docs: int = SAMPLE_DOCS, held_out: int = 0) -> OrdinalModel:
     """Fit on at most sample_docs labelled documents, whole texts; only their hashed words come to the driver.
 
-    Rows without id or label are left out. held_out: leave out ids whose hash modulo 5 is below it, for tests.
+    Rows without id or label are left out; of several labels of one id the highest counts, of several texts the least.
+    held_out: leave out ids whose hash modulo 5 is below it, for tests.
     """
+    label = F.col(label) if isinstance(label, str) else label
     small_batches(docs.sparkSession)
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    chosen = labels.select("doc_id", label.cast("int").alias("_grade")).where("doc_id is not null and _grade is not null")
     if held_out:
         chosen = chosen.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(5)) >= held_out)
-    chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_grade")).orderBy(F.xxhash64("_id", F.lit("fit")), "_id").limit(sample_docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().cast("binary").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_grade", "text")
+    chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("_grade").alias("_grade")).orderBy(F.xxhash64("_id", F.lit("fit")), "_id").limit(sample_docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().cast("binary").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = rows.groupBy("doc_id", "_grade").agg(F.min("text").alias("text"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs:
 
 
 def predict(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """Rows doc_id, expected_severity (mean grade), severity (likeliest grade), p_least (probability of the least grade), toxic (the likeliest grade is not the least).
+    """Rows doc_id, expected_severity (mean grade), severity (likeliest grade), p_least (probability of the least grade), toxic (the grades above the least are likelier together).
 
     A null or empty text has no features and gets the grades' base rates; repeated rows are scored each, a null doc_id
     stays null, an empty table gives no rows, other columns are not read.
@@ -134,7 +145,7 @@ def predict(docs: DataFrame, model: OrdinalModel) -> DataFrame:
                 score = np.bincount(np.repeat(np.arange(b - a), n), weights=model.weights[s], minlength=b - a)
                 p = model.probabilities(score)
                 best = p.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(p @ values), pa.array(values[best].astype(np.int32)), pa.array(p[:, 0]), pa.array(best > 0)], ["doc_id", "expected_severity", "severity", "p_least", "toxic"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(p @ values), pa.array(values[best].astype(np.int32)), pa.array(p[:, 0]), pa.array((values[0] > 0) | (p[:, 0] < 0.5))], ["doc_id", "expected_severity", "severity", "p_least", "toxic"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().cast("binary").alias("text"))
     return rows.mapInArrow(work, "doc_id long, expected_severity double, severity int, p_least double, toxic boolean")

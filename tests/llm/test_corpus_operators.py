@@ -17,7 +17,7 @@ from chunkmill.llm.common import checkpoint_dir, scope
 from chunkmill.llm.components import components
 from chunkmill.llm.deep_shallow import sort_suffixes
 from chunkmill.llm.elias_fano import EliasFano, Trie, mapped
-from chunkmill.llm.tokenizing import TOKENIZERS, CachedTokenizer
+from chunkmill.llm.tokenizing import CachedTokenizer, vocabulary
 
 from .conftest import corpus, rows
 from .test_text_operators import shingles
@@ -59,7 +59,9 @@ def test_mix(spark, docs, none):
             largest[r["source"]] = max(largest.get(r["source"], 0), r["size"])
         assert all(abs(taken[s] - target[s]) <= largest[s] + 1e-6 for s in target)
     assert mixing.copies(none).count() == 0
+    docs = docs.selectExpr("*", "doc_id + 1 AS col", "1 AS d", "2 AS rows")
     mix = mixing.mix_documents(docs, group_rows=5)
+    assert all(r["col"] == r["doc_id"] + 1 for r in mix.where("doc_id is not null").collect())
     assert mix.columns == docs.columns and mix.count() == sum(r["n_copies"] for r in mixing.copies(docs, group_rows=5).collect())
 
 
@@ -245,7 +247,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_cached_tokenizer_agrees_with_whole_texts():
     for limit in (700_000, 20):
-        cache = CachedTokenizer(f"{TOKENIZERS}/word_bpe_49k.json", limit)
+        cache = CachedTokenizer(vocabulary("word_bpe_49k.json"), limit)
         texts = [t for _, t, _, _ in corpus() if t] + ["The end. of’s DON'T can't, don't. <|endoftext|> a<|ENDOFTEXT|>, é. İ. ß. ΣΑΣ. ... 5.5, —."]
         got = [x.tolist() for x in cache.encode([t.encode() for t in texts])]
         assert got == [cache.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
@@ -253,7 +255,7 @@ def test_cached_tokenizer_agrees_with_whole_texts():
 
 def packed(got, texts):
     """Check that pieces are whole documents and sequences; how many ids are padding."""
-    tok = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
+    tok = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     ids = {t: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for t in {*texts}}
     by_crc = Counter((len(x), zlib.crc32(x.tobytes())) for x in (ids[t] for t in texts))
     whole = Counter()

@@ -11,6 +11,7 @@ import pytest
 
 from chunkmill.llm import fingerprints, license_texts, licenses, quality, token_counts, toxicity
 from chunkmill.llm.common import hashed_words, shingled
+from chunkmill.llm.tokenizing import vocabulary
 
 from .conftest import corpus, prose, rows
 
@@ -32,11 +33,13 @@ def test_hashed_words_are_words():
 
 
 def test_licences_are_found_in_any_dress(spark):
-    mit = license_texts.LICENSES["MIT"]
+    mit, gpl = license_texts.LICENSES["MIT"], license_texts.LICENSES["GPL-3.0"]
     cases = [
         (1, mit, "MIT"), (2, "Copyright (c) 2020 Some One\nAll rights reserved.\n\n" + mit.upper().replace("\n", " \n "), "MIT"), (3, mit + " and more", None),
         (4, license_texts.LICENSES["ISC"].replace(",", ";"), "ISC"), (5, None, None), (6, "", None), (7, "Copyright 1999 X", None),
         (8, license_texts.LICENSES["Apache-2.0 notice"].replace("License", "Licence"), "Apache-2.0 notice"), (8, mit, "MIT"), (None, mit, "MIT"),
+        (9, gpl, "GPL-3.0"), (10, "\r\n".join(" * " + x for x in gpl.split("\n")).replace("license", "licence").replace("program ", "programme "), "GPL-3.0"),
+        (11, gpl.replace("program", "programmer"), None), (12, license_texts.LICENSES["Apache-2.0"].upper(), "Apache-2.0"), (13, license_texts.LICENSES["MPL-2.0"], "MPL-2.0"),
     ]
     df = spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")
     got = licenses.scan(df)
@@ -52,19 +55,18 @@ def test_licence_scan_of_odd_tables(docs, none):
 
 
 def greedy(word, begin, go_on):
-    at = n = 0
-    while at < len(word):
-        end = next((e for e in range(len(word), at, -1) if word[at:e] in (go_on if at else begin)), 0)
-        if not end:
-            return 1
-        at, n = end, n + 1
-    return n
+    at, n = next((e for e in range(len(word), -1, -1) if word[:e] in begin), -1), 1
+    while 0 <= at < len(word):
+        at, n = next((e for e in range(len(word), at, -1) if word[at:e] in go_on), -1), n + 1
+    return n if at >= 0 else 1
 
 
 def test_automaton_counts_as_greedy_matching_does():
     for seed in range(60):
         r = random.Random(seed)
         pieces = [{bytes(r.choice(b"abc") for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 12))} for _ in range(2)]
+        if seed % 3 == 0:
+            pieces[0].add(b"")  # the blank alone
         a = token_counts.Automaton(*pieces)
         for _ in range(60):
             w = bytes(r.choice(b"abc") for _ in range(r.randint(1, 12)))
@@ -72,7 +74,9 @@ def test_automaton_counts_as_greedy_matching_does():
 
 
 def test_token_counts(docs, none):
-    begin, go_on = token_counts.pieces(f"{token_counts.TOKENIZERS}/byte_bpe_50k.json")
+    begin, go_on = token_counts.pieces(vocabulary("byte_bpe_50k.json"))
+    long = token_counts.automaton(vocabulary("byte_bpe_50k.json")).count("你好世界".encode())
+    assert long == greedy("你好世界".encode(), begin, go_on) > 4
     known = {}
     count = lambda t: sum(known.setdefault(w, greedy(w, begin, go_on)) for w in (t or "").encode().split())
     want = sorted(((i, len((t or "").encode().split()), count(t)) for i, t, _, _ in corpus()), key=repr)
@@ -111,6 +115,9 @@ def test_thresholds_follow_their_group(spark):
 def test_filtered_keeps_columns(docs):
     out = quality.filtered(docs)
     assert out.columns == docs.columns and out.count() == quality.judged(docs).where("kept").count()
+    clash = docs.selectExpr("*", "lang AS _lang", "source AS _source", "1 AS _b", "2 AS _r", "3 AS _m", "true AS kept")
+    assert quality.filtered(clash).count() == out.count() and {"_lang", "_source", "_b", "_r"} <= {*quality.judged(clash).columns}
+    assert rows(quality.filtered(clash), "_m", "kept")[0] == (3, True)
 
 
 @pytest.fixture
@@ -142,6 +149,38 @@ def test_ordinal_model_on_held_out_grades(spark, graded):
     assert np.allclose(p.sum(axis=1), 1) and (p >= 0).all()
 
 
+def test_fit_agrees_with_plain_gradient_descent():
+    rng = np.random.default_rng(3)
+    n, k, l1 = 120, 6, 1e-3
+    x = rng.random((n, k)) < 0.4
+    grades = np.clip((x @ np.array([1.5, -1, 0.8, 0, 0, 2]) + rng.logistic(size=n)).round(), 0, 3).astype(np.int64)
+    counts = x.sum(axis=1)
+    model = toxicity.fit(np.nonzero(x)[1].astype(np.int32), counts, grades, l1=l1, steps=4000, least_docs=1)
+    levels = np.unique(grades)
+    y, w, cuts = np.searchsorted(levels, grades), np.zeros(k), np.linspace(-1, 1, len(levels) - 1)
+
+    def loss(w, cuts):
+        up = np.hstack([np.zeros((n, 1)), 1 / (1 + np.exp(-(cuts[None, :] - (x @ w)[:, None]))), np.ones((n, 1))])
+        return -np.log(np.diff(up)[np.arange(n), y]).mean() + l1 * np.abs(w).sum()
+
+    for _ in range(3000):  # by differences
+        at = np.concatenate([w, cuts])
+        g = np.array([(loss(*np.split(at + e, [k])) - loss(*np.split(at - e, [k]))) / 2e-5 for e in 1e-5 * np.eye(len(at))])
+        w, cuts = np.split(at - 0.5 * g, [k])
+    assert model.grades == levels.tolist() and (np.diff(model.cuts) > 0).all()
+    assert loss(model.weights[:k].astype(float), model.cuts) < loss(w, cuts) + 2e-3
+    assert np.allclose(model.weights[:k], w, atol=0.12) and np.allclose(model.cuts, cuts, atol=0.12)
+
+
+def test_one_row_of_an_id_is_fitted(monkeypatch, spark, graded):
+    df = spark.createDataFrame(graded[:200], "doc_id long, text string, grade int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda s, n, g: seen.append(sorted(n.tolist())))
+    toxicity.train(df, df, "grade", sample_docs=20)
+    toxicity.train(df.crossJoin(spark.range(50)), df.unionByName(df), "grade", sample_docs=20)
+    assert len(seen[0]) == 20 and seen[0] == seen[1]
+
+
 def test_toxicity_of_odd_tables(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (5, None)], "doc_id long, toxic int")
     assert toxicity.predict(docs, toxicity.train(docs, labels)).count() == docs.count()
