@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, cut, dealt, documents, in_blocks, keyed, mix, pack, shingled, small_batches, stored, unpack
+from .common import Scope, buckets, cut, dealt, documents, in_blocks, keyed, mix, pack, shingled, small_batches, stored, unpack
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -19,7 +19,7 @@ WIDTH, PERCENT = 5, 80
 BLOCK_TEXT = 8 << 20
 #: Bits of a shingle's hash by which its document frequency is counted. Two that fall together look more frequent, which changes the order alone; sets are compared by all 64 bits.
 COUNT_BITS = 40
-#: Fragments into which the order of shingles is cut.
+#: Fragments into which the global order of shingles is cut, of about as many postings each.
 FRAGMENTS = 4
 #: A shingle with more postings than this in one bucket has them paired with their hubs there in the first round, and hubs alone are posted.
 LOCAL_POSTS = 32
@@ -44,7 +44,7 @@ def sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-def _blocks(rows: DataFrame, make) -> DataFrame:
+def _blocks(rows: DataFrame, make, block_text: int) -> DataFrame:
     small_batches(rows.sparkSession)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +53,7 @@ def _blocks(rows: DataFrame, make) -> DataFrame:
             texts = batch.column("text")
             for i in range(batch.num_rows):
                 size = len(texts[i].as_buffer())
-                if total and total + size > BLOCK_TEXT:
+                if total and total + size > block_text:
                     yield make(first + n, pa.Table.from_batches(held))
                     n, held, total = n + 1, [], 0
                 held.append(batch.slice(i, 1))
@@ -73,17 +73,20 @@ def _cuts(values: np.ndarray, n: int) -> list[int]:
 
 
 def _frequencies(n: int, width: int):
-    def make(block: int, table: pa.Table) -> pa.RecordBatch:
-        every = sets(table.column("text").to_pylist(), width)
-        value, count = np.unique(_short(np.concatenate(every)), return_counts=True)
-        cuts = _cuts(value, n)
-        return _arrow([(k, block, pack(pa.table({"step": np.diff(value[a:b], prepend=np.uint64(0)), "count": count[a:b].astype(np.uint32)}))) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's shingles with how many documents have them, to the buckets of their hashes."""
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                every = sets(unpack(blob).column("text").to_pylist(), width)
+                value, count = np.unique(_short(np.concatenate(every)), return_counts=True)
+                cuts = _cuts(value, n)
+                yield _arrow([(k, block, pack(pa.table({"step": np.diff(value[a:b], prepend=np.uint64(0)), "count": count[a:b].astype(np.uint32)}))) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
 
-    return make
+    return work
 
 
 def _classes(key, table):
-    """A class for each block's shingles by document frequency: 0 for those of one document, then more by the logarithm."""
+    """A class for each block's shingles by document frequency: 0 for those of one document, then more by the logarithm; on block -1 how many postings each class has."""
     parts = [unpack(b) for b in table.column("blob").to_pylist()]
     values = [np.cumsum(p.column("step").to_numpy(), dtype=np.uint64) for p in parts]
     flat = np.concatenate(values)
@@ -91,10 +94,29 @@ def _classes(key, table):
     first = np.flatnonzero(np.concatenate([[True], flat[o][1:] != flat[o][:-1]]))
     total = np.add.reduceat(np.concatenate([p.column("count").to_numpy() for p in parts]).astype(np.int64)[o], first)
     out = np.empty(len(flat), np.uint8)
-    out[o] = np.repeat(np.minimum(np.ceil(8 * np.log2(total)), 255).astype(np.uint8), np.diff(first, append=len(flat)))
+    kind = np.minimum(np.ceil(8 * np.log2(total)), 255).astype(np.uint8)
+    out[o] = np.repeat(kind, np.diff(first, append=len(flat)))
+    postings = np.bincount(kind, total, 256).astype(np.int64)
     edges = np.cumsum([0, *map(len, values)])
     bucket = key[0].as_py()
-    return pa.Table.from_batches([_arrow([(bucket, block, pack(pa.table({"kind": out[a:b]}))) for block, a, b in zip(table.column("block").to_pylist(), edges[:-1], edges[1:], strict=True)])])
+    answers = [(bucket, block, pack(pa.table({"kind": out[a:b]}))) for block, a, b in zip(table.column("block").to_pylist(), edges[:-1], edges[1:], strict=True)]
+    return pa.Table.from_batches([_arrow([*answers, (bucket, -1, pack(pa.table({"postings": postings})))])])
+
+
+def place(kind: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where shingles stand in the global order: by class, then by hash."""
+    return kind.astype(np.uint64) << np.uint64(56) | x >> np.uint64(8)
+
+
+def pivots(postings: np.ndarray, fragments: int) -> np.ndarray:
+    """Places that cut the global order of the shingles that several documents have into fragments of about as many postings; postings: how many each class has. Within a class hashes are spread evenly."""
+    mass = postings.astype(float)
+    mass[0] = 0
+    upto = np.cumsum(mass)
+    goal = upto[-1] * np.arange(1, fragments) / fragments
+    kind = np.minimum(np.searchsorted(upto, goal), 255)
+    part = np.clip((goal - upto[kind] + mass[kind]) / np.maximum(mass[kind], 1), 0, 1)
+    return kind.astype(np.uint64) << np.uint64(56) | (part * ((1 << 56) - 1)).astype(np.uint64) & np.uint64((1 << 56) - 1)
 
 
 def _texts(block: int, table: pa.Table) -> pa.RecordBatch:
@@ -105,16 +127,16 @@ def _texts(block: int, table: pa.Table) -> pa.RecordBatch:
 MEMBERS, SETS = 0, 1
 _KINDS = "kind int, bucket int, blob binary"
 _MEMBERS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("rep", pa.int64())])
-_SETS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary(16)), ("tokens", pa.binary()), ("central", pa.int64())])
+_SETS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary(16)), ("tokens", pa.binary()), ("central", pa.int64()), ("cuts", pa.list_(pa.int32()))])
 
 
 def _kinds(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"kind": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary())})
 
 
-def _ordered(n: int, width: int, percent: int):
+def _ordered(n: int, width: int, percent: int, pivot: np.ndarray):
     def work(key, kept, answers):
-        """The sets of a block's documents without shingles that no other document has, in the global order."""
+        """The sets of a block's documents without shingles that no other document has, in the global order, and where its fragments begin in them."""
         kinds = [unpack(b).column("kind").to_numpy() for _, b in sorted(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))]
         kind = np.concatenate(kinds) if kinds else np.empty(0, np.uint8)
         members, going, seen = [], {}, {}
@@ -122,7 +144,8 @@ def _ordered(n: int, width: int, percent: int):
             t = unpack(blob)
             own = sets(t.column("text").to_pylist(), width)
             value = np.unique(_short(np.concatenate(own)))
-            assert len(value) == len(kind), "the documents did not come in the same order again"
+            if len(value) != len(kind):
+                raise RuntimeError("the answers to a block are not those that it asked for")
             for k, d, x in sorted(zip(t.column("key").to_pylist(), t.column("doc_id").to_pylist(), own, strict=True), key=lambda r: r[0]):
                 c = kind[np.searchsorted(value, _short(x))]
                 shared = c > 0
@@ -134,8 +157,9 @@ def _ordered(n: int, width: int, percent: int):
                     members.append((k, d, len(x), seen[digest]))
                     continue
                 seen[digest] = k
-                o = np.lexsort((x[shared], c[shared]))
-                going.setdefault(int.from_bytes(digest[:4], "little") % n, []).append((k, d, len(x), digest, x[shared][o].tobytes(), int(1000 * c.mean())))
+                at = place(c[shared], x[shared])
+                o = np.argsort(at)
+                going.setdefault(int.from_bytes(digest[:4], "little") % n, []).append((k, d, len(x), digest, x[shared][o].tobytes(), int(1000 * c.mean()), np.searchsorted(at[o], pivot).tolist()))
         rows = [(SETS, b, pack(_rows(v, _SETS))) for b, v in going.items()]
         return _kinds([(MEMBERS, 0, pack(_rows(members, _MEMBERS))), *rows])
 
@@ -268,7 +292,7 @@ SKETCHES = 2
 _SKETCH = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("bits", pa.binary())])
 
 
-def _posts(n: int, percent: int, way: str):
+def _posts(n: int, percent: int, way: str, local_posts: int):
     """Postings of the rarest shingles of each representative, with its label; "stars": of a shingle with many here those with a hub are told as pairs at once (kind SETS), and hubs alone are posted; "crossed": sketches of the sets go with them."""
 
     def work(key, own, labels):
@@ -287,7 +311,7 @@ def _posts(n: int, percent: int, way: str):
             token, rows = token[o], rows[o]
             keep, found = np.ones(len(token), bool), []
             for a, b in _groups(token):
-                if b - a > LOCAL_POSTS:
+                if b - a > local_posts:
                     pairs, hubs = _stars(*rows[a:b, :3].T, percent)
                     found += pairs
                     keep[a:b] = hubs
@@ -337,19 +361,19 @@ def _paired(percent: int, way: str):
 _PART = pa.schema([("group", pa.int32()), ("fragment", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 
 
-def _fragments(fragments: int):
-    def work(key, own, wanted):
-        """Deal the sets to the buckets of their pairs, one fragment of the order each."""
-        have, parts, out = _opened(own), {}, []
-        for k, g in zip(wanted.column("key").to_pylist(), wanted.column("group").to_pylist(), strict=True):
-            size, x, _ = have[k]
-            if k not in parts:
-                part = (x >> np.uint64(64 - (fragments - 1).bit_length())).astype(np.int64)
-                parts[k] = [np.sort(x[part == f]).tobytes() for f in range(fragments)]
-            out += [(g, f, k, size, parts[k][f]) for f in range(fragments)]
-        return _rows(out, _PART)
-
-    return work
+def _fragments(key, own, wanted):
+    """Deal the sets to the buckets of their pairs, one fragment of the global order each."""
+    cuts = {}
+    for blob in own.column("blob").to_pylist():
+        t = unpack(blob)
+        cuts.update(zip(t.column("key").to_pylist(), t.column("cuts").to_pylist(), strict=True))
+    have, parts, out = _opened(own), {}, []
+    for k, g in zip(wanted.column("key").to_pylist(), wanted.column("group").to_pylist(), strict=True):
+        size, x, _ = have[k]
+        if k not in parts:
+            parts[k] = [np.sort(part).tobytes() for part in np.split(x, cuts[k])]
+        out += [(g, f, k, size, part) for f, part in enumerate(parts[k])]
+    return _rows(out, _PART)
 
 
 def _overlaps(key, own, pairs):
@@ -366,13 +390,13 @@ def _overlaps(key, own, pairs):
 
 
 def _verified(reps: DataFrame, pairs: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
-    """Links among candidate pairs: overlaps counted fragment by fragment and summed for each pair."""
-    group = F.pmod(F.xxhash64("a"), F.lit(n)).cast("int")
+    """Links among candidate pairs: overlaps counted fragment by fragment and summed for each pair. Pairs are dealt by both ends, so a hub's go to many tasks."""
+    group = F.pmod(F.xxhash64("a", "b"), F.lit(n)).cast("int")
     pairs = pairs.withColumn("group", group)
     home = lambda c: F.col(c).alias("key")
     ends = pairs.select(home("a"), "group").unionByName(pairs.select(home("b"), "group")).distinct()
     ends = ends.withColumn("bucket", _home(F.col("key"), n))
-    parts = reps.groupBy("bucket").cogroup(ends.groupBy("bucket")).applyInArrow(_fragments(fragments), "group int, fragment int, key long, n long, tokens binary")
+    parts = reps.groupBy("bucket").cogroup(ends.groupBy("bucket")).applyInArrow(_fragments, "group int, fragment int, key long, n long, tokens binary")
     each = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(f) for f in range(fragments)])))
     counted = parts.groupBy("group", "fragment").cogroup(each.groupBy("group", "fragment")).applyInArrow(_overlaps, "a long, b long, na long, nb long, common long")
     total = counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
@@ -393,7 +417,7 @@ def _unpacked(rows: DataFrame, schema: pa.Schema, ddl: str) -> DataFrame:
     return rows.select("blob").mapInArrow(work, ddl)
 
 
-def grouped(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
+def grouped(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragments: int = FRAGMENTS, block_text: int = BLOCK_TEXT, local_posts: int = LOCAL_POSTS) -> DataFrame:
     """Rows (key, doc_id, n, component) of keyed() documents: n shingles, and the least key that links reach.
 
     1. Shingles' document frequencies are counted over all documents; the global order is by frequency, then hash. A
@@ -404,13 +428,23 @@ def grouped(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragmen
        posting is paired with its shingle's most central one alone (the one whose shingles are the most frequent); in a
        second all postings of a shingle that are not yet in one component are paired, but for those whose bitmaps rule a
        link out. So no link is lost, and a large group of copies still makes few pairs.
-    4. Pairs are verified by vertical partitioning: the order is cut into fragments, a task counts a bucket of pairs'
-       overlaps in one fragment, and the parts are summed for each pair.
+    4. Pairs are verified by vertical partitioning: the global order is cut into fragments of about as many postings each,
+       a task counts a bucket of pairs' overlaps in one fragment, and the parts are summed for each pair.
+
+    Texts are read once and kept as blocks until the sets are made.
     """
     spark = rows.sparkSession
     n = buckets(spark)
-    kinds = _blocks(rows, _frequencies(n, width)).groupBy("bucket").applyInArrow(_classes, _ROWS)
-    first = stored(_blocks(rows, _texts).groupBy("block").cogroup(kinds.groupBy("block")).applyInArrow(_ordered(n, width, percent), _KINDS), "sets")
+    early = Scope()
+    with early.active():
+        blocks = stored(_blocks(rows, _texts, block_text), "texts")
+        kinds = stored(blocks.mapInArrow(_frequencies(n, width), _ROWS).groupBy("bucket").applyInArrow(_classes, _ROWS), "classes")
+    postings = np.zeros(256, np.int64)
+    for r in kinds.where("block = -1").select("blob").toLocalIterator():
+        postings += unpack(bytes(r[0])).column("postings").to_numpy()
+    ordered = _ordered(n, width, percent, pivots(postings, fragments))
+    first = stored(blocks.groupBy("block").cogroup(kinds.where("block >= 0").groupBy("block")).applyInArrow(ordered, _KINDS), "sets")
+    early.close()
     second = first.where(F.col("kind") == SETS).groupBy("bucket").applyInArrow(_representatives(n), _KINDS)
     second = stored(second, "representatives")
     ddl = "key long, doc_id long, n long, rep long"
@@ -420,7 +454,7 @@ def grouped(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragmen
     links = None
     for way in _ROUNDS:
         mine = labels.withColumn("bucket", _home(F.col("key"), n))
-        posts = stored(reps.groupBy("bucket").cogroup(mine.groupBy("bucket")).applyInArrow(_posts(n, percent, way), _KINDS), "posts")
+        posts = stored(reps.groupBy("bucket").cogroup(mine.groupBy("bucket")).applyInArrow(_posts(n, percent, way, local_posts), _KINDS), "posts")
         pairs = posts.where(F.col("kind") != SETS).groupBy("bucket").applyInArrow(_paired(percent, way), "a long, b long")
         if way == "stars":
             pairs = pairs.unionByName(_unpacked(posts.where(F.col("kind") == SETS), pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long"))

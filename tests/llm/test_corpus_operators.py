@@ -206,14 +206,25 @@ def linked(rows_):
     return [(i, len(s), rows_[r][0], r == k) for k, ((i, _), s, r) in enumerate(zip(rows_, sets, root, strict=True))]
 
 
-def test_jaccard_components(monkeypatch, docs, none):
-    monkeypatch.setattr(ngram_join, "BLOCK_TEXT", 5000)
-    monkeypatch.setattr(ngram_join, "LOCAL_POSTS", 3)
+def test_jaccard_components(docs, none):
     want = sorted((r[:3] for r in linked([c[:2] for c in corpus()])), key=repr)
-    assert rows(ngram_join.joined(docs)) == want
+    for fragments in (1, 2, 3, 5):
+        assert rows(ngram_join.joined(docs, fragments=fragments, block_text=5000 * fragments, local_posts=3)) == want
     assert ngram_join.joined(none).count() == 0
 
 
+def test_fragments_are_ranges_of_the_global_order():
+    rng = np.random.default_rng(6)
+    kind, x = rng.choice([1, 8, 8, 8, 20, 255], 20_000).astype(np.uint8), rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    at = ngram_join.place(kind, x)
+    assert (np.argsort(at, kind="stable") == np.lexsort((x >> np.uint64(8), kind))).all()
+    for n in (1, 2, 3, 5, 8):
+        cuts = ngram_join.pivots(np.bincount(kind, minlength=256), n)
+        share = np.bincount(np.searchsorted(cuts, at, "right"), minlength=n) / len(x)
+        assert len(cuts) == n - 1 and abs(share - 1 / n).max() < 0.02
+    assert ngram_join.pivots(np.zeros(256, np.int64), 4).tolist() == [0, 0, 0]
+
+
 def test_copies_of_a_block_follow_a_lesser_one_of_another(spark):
     base = corpus()[0][1]
     near = base.split(" ")
