@@ -45,14 +45,19 @@ def signatures(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.n
     return out, counts
 
 
-def likeness(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity: the share of permutations with equal minima; two texts without words are alike, one such text is unlike all others."""
-    return np.where((na == 0) | (nb == 0), ((na == 0) & (nb == 0)).astype(float), (a == b).mean(axis=1))
+def fingerprints(sig: np.ndarray) -> np.ndarray:
+    """The lower 16 bits of each minimum. Other minima have equal ones once in 65,536 times; the upper bits of a long text's minima are nearly all 0."""
+    return sig.astype(np.uint16)
 
 
-def printed(sig: np.ndarray) -> list[str]:
-    """Fingerprints as hex: the upper 16 bits of each minimum."""
-    return [x.tobytes().hex() for x in (sig >> np.uint32(16)).astype(">u2")]
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of fingerprints: the share of equal values. Two texts without words are alike."""
+    return (a == b).mean(axis=1)
+
+
+def printed(prints: np.ndarray) -> list[str]:
+    """Fingerprints as hex, four digits for each permutation."""
+    return [x.tobytes().hex() for x in prints.astype(">u2")]
 
 
 def with_next(docs: DataFrame, n: int) -> DataFrame:
@@ -99,17 +104,15 @@ def _compared(key, table):
     texts = [t for _, t in own] + after[:1]
     decoded = [t.decode() for t in texts]
     new = [edited(a, b).encode() for a, b in zip(decoded[:-1], decoded[1:], strict=True)]
-    sig, n = signatures(texts)
-    new_sig, new_n = signatures(new)
-    print_ = printed(sig[:-1])
+    own_prints, new_prints = (fingerprints(signatures(t)[0]) for t in (texts, new))
     return pa.table({
         "doc_id": pa.array([None if i == LOWEST else i for i, _ in own], pa.int64()),
         "n_chars": pa.array([len(t) for t in decoded[:-1]], pa.int64()),
         "edited_sha256": [hashlib.sha256(t).hexdigest() for t in new],
-        "fingerprint": print_,
-        "edited_fingerprint": printed(new_sig),
-        "near_edited": likeness(sig[:-1], new_sig, n[:-1], new_n),
-        "near_next": likeness(sig[:-1], sig[1:], n[:-1], n[1:]),
+        "fingerprint": printed(own_prints[:-1]),
+        "edited_fingerprint": printed(new_prints),
+        "near_edited": likeness(own_prints[:-1], new_prints),
+        "near_next": likeness(own_prints[:-1], own_prints[1:]),
     })
 
 

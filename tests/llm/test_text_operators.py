@@ -200,6 +200,8 @@ def test_fingerprints(docs, none):
         new = fingerprints.edited(t, after)
         assert by_key[i, len(t), hashlib.sha256(new.encode()).hexdigest()]
         row = next(r for r in got if (r[0], r[1], r[2]) == (i, len(t), hashlib.sha256(new.encode()).hexdigest()))
+        same = sum(row[3][k : k + 4] == row[4][k : k + 4] for k in range(0, len(row[3]), 4))
+        assert row[5] == same / fingerprints.PERMUTATIONS
         assert prints.setdefault(t, row[3]) == row[3] and prints.setdefault(new, row[4]) == row[4]
         for other, near in ((new, row[5]), (after, row[6])):
             a, b = shingles(t), shingles(other)
