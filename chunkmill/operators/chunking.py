@@ -15,11 +15,10 @@ from ..sources.byte_blocks import block_candidates, file_table, open_range
 
 
 def fixed_chunks(df: DataFrame, column: str, *keys: str, size: int = 64) -> DataFrame:
-    """keys..., ord, hash (MD5), size (bytes): blocks of `size` characters of a text."""
-    n = F.ceil(F.length(column) / size).cast("int")
-    each = df.where(F.length(column) > 0).select(*keys, column, F.explode(F.sequence(F.lit(0), n - 1)).alias("ord"))
-    part = F.substring(F.col(column), F.col("ord") * size + 1, F.lit(size))
-    return each.select(*keys, F.col("ord").cast("long").alias("ord"), F.encode(part, "UTF-8").alias("_b")).select(*keys, "ord", F.md5("_b").alias("hash"), F.octet_length("_b").cast("long").alias("size"))
+    """keys..., ord, hash (MD5), size (bytes): blocks of `size` characters of a text, cut in one pass over it; an empty or null text has none."""
+    parts = F.regexp_extract_all(F.col(column), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    each = df.select(*keys, F.posexplode(parts).alias("ord", "_t")).select(*keys, F.col("ord").cast("long").alias("ord"), F.encode("_t", "UTF-8").alias("_b"))
+    return each.select(*keys, "ord", F.md5("_b").alias("hash"), F.octet_length("_b").cast("long").alias("size"))
 
 
 def char_chunks(df: DataFrame, column: str, *keys: str, limit: int = 1 << 26, min_len: int = 48, max_len: int | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def merge(occurrences: DataFrame, *more: str) -> DataFrame:
     """The distinct chunks: hash, size, first_seen_in (least file), seen_in (ascending files, each once), n (occurrences); more: columns of which the first value is kept."""
@@ -34,13 +36,15 @@ def stats(occurrences: DataFrame, *by: str, compressed: bool = False, digits: in
 
 
 def segments(occurrences: DataFrame) -> DataFrame:
-    """file_idx, ord, first_seen_in: for each occurrence the first file that has its chunk; a join with the distinct chunks, so a chunk with very many occurrences is not gathered."""
+    """file_idx, ord, first_seen_in: for each occurrence the first file that has its chunk; a join with the distinct chunks, so a chunk with very many occurrences is not gathered. Occurrences are computed once and kept."""
+    occurrences = cut(occurrences.select("file_idx", "ord", "hash"))
     first = occurrences.groupBy("hash").agg(F.min("file_idx").alias("first_seen_in"))
     return occurrences.join(first, "hash").select("file_idx", "ord", "first_seen_in")
 
 
 def listing(occurrences: DataFrame, *more: str) -> DataFrame:
-    """file_idx, ord, hash and the chunk's row, for every occurrence."""
+    """file_idx, ord, hash and the chunk's row, for every occurrence. Occurrences are computed once and kept."""
+    occurrences = cut(occurrences)
     return occurrences.select("file_idx", "ord", "hash").join(merge(occurrences, *more), "hash")
 
 
@@ -51,7 +55,8 @@ def first_occurrences(occurrences: DataFrame) -> DataFrame:
 
 
 def new_bytes(occurrences: DataFrame) -> DataFrame:
-    """file_idx, total_len, new_bytes: what each file adds to those before it."""
+    """file_idx, total_len, new_bytes: what each file adds to those before it. Occurrences are computed once and kept."""
+    occurrences = cut(occurrences.select("file_idx", "ord", "hash", "size"))
     own = occurrences.groupBy("file_idx").agg(F.sum("size").cast("long").alias("total_len"))
     new = first_occurrences(occurrences).groupBy("file_idx").agg(F.sum("size").cast("long").alias("new_bytes"))
     return own.join(new, "file_idx", "left").select("file_idx", "total_len", F.coalesce("new_bytes", F.lit(0)).alias("new_bytes"))

@@ -9,6 +9,8 @@ from ..session import cut
 
 #: Positions that one window of a running sum covers.
 BLOCK = 1 << 16
+#: Blocks whose sums one window of a running sum covers.
+TOP = 1 << 12
 
 
 def with_positions(df: DataFrame, *order: str, name: str = "_pos") -> DataFrame:
@@ -24,15 +26,25 @@ def with_positions(df: DataFrame, *order: str, name: str = "_pos") -> DataFrame:
     return rows.join(F.broadcast(before), part == F.col("_part")).withColumn(name, F.col("_before") + place).drop("_id", "_part", "_before")
 
 
-def running_sum(df: DataFrame, value: Column, name: str, pos: str = "_pos", exclusive: bool = False, block: int = BLOCK) -> DataFrame:
-    """Sum of value over the rows up to each position (before it, if exclusive), by blocks of positions: sums inside each, and the sum of the blocks before."""
+def running_sum(df: DataFrame, value: Column, name: str, pos: str = "_pos", exclusive: bool = False, block: int = BLOCK, by: tuple[str, ...] = (), top: int = TOP) -> DataFrame:
+    """Sum of value over the rows up to each position (before it, if exclusive), of each value of `by` on its own.
+
+    Sums inside blocks of positions, of the blocks before inside `top` blocks, and of the tops before: no window is longer
+    than that, but the last, which has a row for each block * top rows.
+    """
     rows = df.withColumn("_block", F.floor(F.col(pos) / block)).withColumn("_v", value)
-    sums = rows.groupBy("_block").agg(F.sum("_v").alias("_s"))
-    before = sums.select(F.col("_block").alias("_b"), (F.sum("_s").over(Window.orderBy("_block")) - F.col("_s")).alias("_before"))
-    inside = F.sum("_v").over(Window.partitionBy("_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    own = inside - F.col("_v") if exclusive else inside
-    summed = rows.withColumn("_inside", own).join(before, F.col("_block") == F.col("_b"))
-    return summed.withColumn(name, F.col("_before") + F.col("_inside")).drop("_block", "_v", "_b", "_before", "_inside")
+    sums = rows.groupBy(*by, "_block").agg(F.sum("_v").alias("_s")).withColumn("_top", F.floor(F.col("_block") / top))
+    tops = sums.groupBy(*by, "_top").agg(F.sum("_s").alias("_t"))
+    upto = lambda v, *part, order: F.sum(v).over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(v)
+    renamed = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
+    same = lambda t, k: [t[c].eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)] + [t[k] == F.col("_k")]
+    tops = tops.select(*renamed, F.col("_top").alias("_k"), upto("_t", *by, order="_top").alias("_far"))
+    near = sums.withColumn("_near", upto("_s", *by, "_top", order="_block"))
+    before = near.join(tops, same(near, "_top")).select(*renamed, F.col("_block").alias("_kb"), (F.col("_near") + F.col("_far")).alias("_before")).withColumnRenamed("_kb", "_k")
+    inside = F.sum("_v").over(Window.partitionBy(*by, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_inside", inside - F.col("_v") if exclusive else inside)
+    summed = rows.join(before, same(rows, "_block"))
+    return summed.withColumn(name, F.col("_before") + F.col("_inside")).select(*df.columns, name)
 
 
 def renumbered(df: DataFrame, *order: str, pos: str = "_pos") -> DataFrame:

@@ -9,6 +9,8 @@ from .positions import running_sum
 
 #: A row whose digest's first byte is below this (in hex) ends a chunk: one in 64 rows.
 BELOW = "04"
+#: Most rows of a chunk.
+MAX_ROWS = 1 << 14
 
 
 def row_text(*columns: Column) -> Column:
@@ -16,18 +18,18 @@ def row_text(*columns: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
 
 
-def row_chunks(rows: DataFrame, text: Column, pos: str = "_pos", below: str = BELOW, by: tuple[str, ...] = ()) -> DataFrame:
+def row_chunks(rows: DataFrame, text: Column, pos: str = "_pos", below: str = BELOW, by: tuple[str, ...] = (), max_rows: int = MAX_ROWS) -> DataFrame:
     """Chunks of consecutive rows: by..., chunk, first_pos, n_rows, size (bytes of text), hash (MD5 of the rows' texts in order).
 
     by: columns of which each value is a table of its own, with its own positions; their chunks are numbered from 0 each.
+    A chunk of more than max_rows rows comes in parts of so many, under one number.
     """
     marked = rows.select(*by, pos, text.alias("_text")).withColumn("_cut", (F.substring(F.md5(F.col("_text").cast("binary")), 1, 2) < below).cast("long"))
-    if by:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-        numbered = marked.withColumn("chunk", F.coalesce(F.sum("_cut").over(w), F.lit(0)))
-    else:
-        numbered = running_sum(marked, F.col("_cut"), "chunk", pos, exclusive=True)
+    numbered = running_sum(marked, F.col("_cut"), "chunk", pos, exclusive=True, by=by).drop("_cut")
+    long = numbered.groupBy(*by, "chunk").agg(F.min(pos).alias("_first"), F.count("*").alias("_n")).where(F.col("_n") > max_rows)
+    long = long.select(*[F.col(c).alias(f"_l{i}") for i, c in enumerate(by)], F.col("chunk").alias("_lc"), "_first")
+    same = [numbered[c].eqNullSafe(F.col(f"_l{i}")) for i, c in enumerate(by)] + [numbered["chunk"] == F.col("_lc")]
+    parted = numbered.join(long, same, "left").withColumn("_part", F.coalesce(F.floor((F.col(pos) - F.col("_first")) / max_rows), F.lit(0)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("_text").alias("t")))), lambda x: x["t"]), "\n")
-    return numbered.groupBy(*by, "chunk").agg(F.min(pos).alias("first_pos"), F.count("*").alias("n_rows"), F.sum(F.octet_length("_text")).cast("long").alias("size"), F.md5(joined.cast("binary")).alias("hash"))
+    out = parted.groupBy(*by, "chunk", "_part").agg(F.min(pos).alias("first_pos"), F.count("*").alias("n_rows"), F.sum(F.octet_length("_text")).cast("long").alias("size"), F.md5(joined.cast("binary")).alias("hash"))
+    return out.drop("_part")

@@ -5,14 +5,18 @@ from __future__ import annotations
 import json
 import re
 import sqlite3
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 BLOCK_ROWS = 1 << 20
 #: Compression names that the second Parquet writer takes, in any case.
@@ -172,54 +176,78 @@ class SqliteFormat(FileFormat):
             con.close()
 
 
-class _Writer(DataSourceArrowWriter):
-    def __init__(self, options: dict, overwrite: bool):
-        self.path, self.options, self.overwrite = options.pop("path"), options, overwrite
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), str(Path(path.removeprefix("file:")).absolute())
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        from pyspark import TaskContext
 
+class _Writer(DataSourceArrowWriter):
+    def __init__(self, options: dict, schema: StructType, overwrite: bool):
+        self.path, self.options, self.overwrite, self.job = options.pop("path"), options, overwrite, uuid.uuid4().hex
+        self.schema = to_arrow_schema(schema)
+
+    def _open(self, where: fs.FileSystem, file: str, schema: pa.Schema) -> pq.ParquetWriter:
         o = self.options
         cdc = {k: int(o[k]) for k in ("min_chunk_size", "max_chunk_size", "norm_level") if k in o} or True
-        group = int(o["row_group_size"]) if "row_group_size" in o else None
         extra = {"data_page_size": int(o["data_page_size"])} if "data_page_size" in o else {}
-        Path(self.path).mkdir(parents=True, exist_ok=True)
-        out = None
-        temporary = Path(self.path) / f".part-{TaskContext.get().partitionId():05d}-{TaskContext.get().taskAttemptId()}.parquet"
+        return pq.ParquetWriter(file, schema, filesystem=where, compression=codec(o.get("compression", "snappy")) or "none", use_content_defined_chunking=cdc, **extra)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        where, path = filesystem(self.path)
+        group = int(self.options["row_group_size"]) if "row_group_size" in self.options else None
+        out, task = None, TaskContext.get()
+        temporary = f"{path}/.{self.job}-part-{task.partitionId():05d}-{task.taskAttemptId()}.parquet"
         for batch in iterator:
             if out is None:
-                out = pq.ParquetWriter(temporary, batch.schema, compression=codec(o.get("compression", "snappy")) or "none", use_content_defined_chunking=cdc, **extra)
+                where.create_dir(path)
+                out = self._open(where, temporary, batch.schema)
             out.write_batch(batch, row_group_size=group)
         if out is not None:
             out.close()
         message = WriterCommitMessage()
-        message.file = str(temporary) if out is not None else None
+        message.file = temporary if out is not None else None
         return message
 
+    def _files(self, where: fs.FileSystem, path: str) -> list[str]:
+        return [f.path for f in where.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.type == fs.FileType.File]
+
     def commit(self, messages: Iterable[WriterCommitMessage | None]) -> None:
-        if self.overwrite:
-            for old in Path(self.path).glob("part-*.parquet"):
-                old.unlink()
-        for m in messages:
-            if m is not None and m.file:
-                f = Path(m.file)
-                f.rename(f.with_name("-".join(f.name.lstrip(".").split("-")[:2]) + ".parquet"))
+        """Parts get names with the job's id; an overwrite removes the old ones last, so at no time are rows in neither."""
+        where, path = filesystem(self.path)
+        where.create_dir(path)
+        old = [f for f in self._files(where, path) if f.rsplit("/", 1)[-1].startswith("part-")] if self.overwrite else []
+        made = [m.file for m in messages if m is not None and m.file]
+        for file in made:
+            number = file.rsplit("-part-", 1)[1].split("-")[0]
+            where.move(file, f"{path}/part-{number}-{self.job}.parquet")
+        if not made and not any(f.rsplit("/", 1)[-1].startswith("part-") for f in self._files(where, path) if f not in old):
+            self._open(where, f"{path}/part-00000-{self.job}.parquet", self.schema).close()
+        for file in [*old, *self._own(where, path)]:
+            where.delete_file(file)
+
+    def _own(self, where: fs.FileSystem, path: str) -> list[str]:
+        """What attempts of this job that did not count have left."""
+        return [f for f in self._files(where, path) if f.rsplit("/", 1)[-1].startswith(f".{self.job}-")]
 
     def abort(self, messages: Iterable[WriterCommitMessage | None]) -> None:
-        for m in messages:
-            if m is not None and m.file:
-                Path(m.file).unlink(missing_ok=True)
+        where, path = filesystem(self.path)
+        for file in self._own(where, path):
+            where.delete_file(file)
 
 
 class CdcParquet(DataSource):
-    """format("cdc_parquet"): a distributed sink of Parquet parts with content-defined page boundaries, which Spark's own writer lacks. A part appears under its name when all tasks are done. The path must be a mounted folder that all executors share."""
+    """format("cdc_parquet"): a distributed sink of Parquet parts with content-defined page boundaries, which Spark's own writer lacks. The path is a folder that all executors share, or a URI that pyarrow's file systems know. A part appears under its name when all tasks are done; an empty table leaves one part without rows."""
 
     @classmethod
     def name(cls) -> str:
         return "cdc_parquet"
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(dict(self.options), overwrite)
+        return _Writer(dict(self.options), schema, overwrite)
 
 
 def write_cdc_parquet(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -480,21 +479,10 @@ def heatmap_samples(spark, sf_dir):
     return seg.crossJoin(F.broadcast(n)).groupBy(F.floor(F.col("_pos") * 8192 / F.col("all")).alias("i")).agg(F.count("*").alias("n"), F.round(F.avg("first_seen_in"), 6).alias("mean_first_seen"))
 
 
-@query(f"""WITH {_OCC}, few AS (SELECT * FROM occ WHERE file_idx < 3), c AS (SELECT hash, any_value(size) AS size, list(DISTINCT file_idx) AS seen FROM few GROUP BY hash), m AS (SELECT max(size) AS m FROM c)
-    SELECT doc, CASE WHEN NOT list_contains(seen, doc) THEN 0.15::DOUBLE WHEN len(seen) = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS opacity, round(least(greatest(size / m::DOUBLE * 10, 1.0), 10.0), 4) AS height, count(*) AS n
-    FROM few JOIN c USING (hash, size), m, range(0, 3) d(doc) GROUP BY 1, 2, 3""")
-def multidoc_cells(spark, sf_dir):
-    """Cells of the strips of the first three sources' blocks, counted by look."""
-    from .report import cells
-
-    few = occurrences(spark, sf_dir).where("file_idx < 3")
-    return cells(few).groupBy("doc", "opacity", F.round("height", 4).alias("height")).agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH {_OCC}, c AS (SELECT hash, any_value(size) AS size, list(DISTINCT file_idx) AS seen, count(*) AS k FROM occ GROUP BY hash), l AS (SELECT list_sort(seen) AS seen, size, sum(k) AS k FROM c GROUP BY 1, 2), m AS (SELECT max(size) AS m FROM c), d AS (SELECT DISTINCT file_idx AS doc FROM occ)
     SELECT doc, CASE WHEN NOT list_contains(seen, doc) THEN 0.15::DOUBLE WHEN len(seen) = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS opacity, round(least(greatest(size / m::DOUBLE * 10, 1.0), 10.0), 4) AS height, CAST(sum(k) AS BIGINT) AS n
     FROM l, m, d GROUP BY 1, 2, 3""")
-def multidoc_cells_every_source(spark, sf_dir):
+def multidoc_cells(spark, sf_dir):
     """Cells of the strips of all sources' blocks, counted by look."""
     from .report import looks
 
@@ -505,9 +493,11 @@ def multidoc_cells_every_source(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder's path in the shared one, where that is mounted."""
+    """A new folder's path in the shared one, which must be mounted where Python writes files."""
     shared = shared_folder(spark).removeprefix("file:")
-    return f"{shared if Path(shared).is_dir() else tempfile.gettempdir()}/chunkmill-{uuid.uuid4().hex}"
+    if not Path(shared).is_dir():
+        raise RuntimeError(f"the shared folder is no mounted one: {shared}")
+    return f"{shared}/chunkmill-{uuid.uuid4().hex}"
 
 
 @query()
@@ -539,12 +529,12 @@ def parquet_page_sizes(spark, sf_dir):
     return pages.groupBy("column", "page_type").agg(F.count("*").alias("n"), F.sum("uncompressed_bytes").alias("bytes"), F.sum("num_values").alias("num_values"))
 
 
-@query()
+@query("SELECT * FROM orders")
 def cdc_parquet_roundtrip(spark, sf_dir):
     """Rows written with content-defined page boundaries and read again."""
     from .formats import write_cdc_parquet
 
-    path = _folder(spark)
+    path = f"{shared_folder(spark)}/chunkmill-{uuid.uuid4().hex}"
     write_cdc_parquet(table(spark, sf_dir, "orders"), path)
     return spark.read.parquet(path)
 

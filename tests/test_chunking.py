@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -120,3 +122,13 @@ def test_approximate_stats_are_near(spark):
     occ = spark.range(20_000).selectExpr("0L AS file_idx", "id AS ord", "md5(cast(id % 5000 as string)) AS hash", "100L AS size")
     r = dedup.approximate_stats(occ).first()
     assert r["total_len"] == 2_000_000 and abs(r["chunk_bytes"] / 500_000 - 1) < 0.1
+
+
+def test_blocks_of_a_long_text(spark):
+    text = "äb\n😀c" * 2_000_003
+    got = chunking.fixed_chunks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "k long, t string"), "t", "k").cache()
+    assert got.count() == -(-len(text) // 64) and got.agg({"size": "sum"}).first()[0] == len(text.encode())
+    last = got.orderBy("ord", ascending=False).first()
+    tail = text[64 * last["ord"] :].encode()
+    assert (last["k"], last["hash"], last["size"]) == (1, hashlib.md5(tail).hexdigest(), len(tail))
+    got.unpersist()

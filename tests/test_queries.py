@@ -43,7 +43,7 @@ def test_cells_of_every_source(spark):
     few = occ.where("file_idx < 4")
     want = report.cells(few).groupBy("doc", "opacity", "height").count()
     assert sorted(map(tuple, report.looks(few).collect())) == sorted(map(tuple, want.collect()))
-    got = QUERIES["multidoc_cells_every_source"](spark, DATA).groupBy("doc").sum("n").collect()
+    got = QUERIES["multidoc_cells"](spark, DATA).groupBy("doc").sum("n").collect()
     sources = spark.read.parquet(f"{DATA}/documents.parquet").select("source").distinct().count()
     assert sources > 3 and {tuple(r) for r in got} == {(d, occ.count()) for d in range(sources)}
 

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql.datasource import WriterCommitMessage
 
 from chunkmill import cli
 from chunkmill.operators import edits, positions, row_cdc, synthetic
@@ -69,6 +71,24 @@ def test_positions_and_running_sums_over_many_partitions(spark):
     assert [r["s"] for r in x.orderBy("k").collect()] == (np.cumsum(range(1000)) - range(1000)).tolist()
 
 
+def test_running_sums_of_each_key(spark):
+    rows = [(k, p, (p * 7 + len(k or "")) % 11) for k in ("a", "bb", None) for p in range(300)]
+    df = spark.createDataFrame(rows, "k string, p long, v long").repartition(5)
+    got = positions.running_sum(df, df["v"], "s", "p", by=("k",), block=16, top=4)
+    assert got.columns == ["k", "p", "v", "s"]
+    want = [(k, p, v, sum(x for j, q, x in rows if j == k and q <= p)) for k, p, v in rows]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_a_long_row_chunk_comes_in_parts(spark):
+    df = spark.range(1000).selectExpr("id AS _pos", "'same' AS t")
+    (one,) = row_cdc.row_chunks(df, df["t"], below="00").collect()
+    assert one["n_rows"] == 1000
+    parts = row_cdc.row_chunks(df, df["t"], below="00", max_rows=300).orderBy("first_pos").collect()
+    assert [(r["chunk"], r["first_pos"], r["n_rows"]) for r in parts] == [(0, 0, 300), (0, 300, 300), (0, 600, 300), (0, 900, 100)]
+    assert len({r["hash"] for r in parts}) == 2
+
+
 def test_row_chunks_survive_an_insertion(spark):
     t = synthetic.generate(spark, {"a": "int", "b": "int"}, 3000)
     e = edits.insert_rows(t, [0.5], lambda n: synthetic.generate(spark, {"a": "int", "b": "int"}, n, 7), rows=3000)
@@ -105,6 +125,37 @@ def test_round_trips(spark, tmp_path):
     assert edits.same_rows(spark.read.parquet(str(tmp_path / "sink")), t)
 
 
+def test_sink_loses_no_rows(spark, tmp_path):
+    path = tmp_path / "sink"
+    hundred = lambda a: spark.range(a, a + 100, numPartitions=3)
+    read = lambda: sorted(r["id"] for r in spark.read.parquet(str(path)).collect())
+    for k in range(2):
+        formats.write_cdc_parquet(hundred(100 * k), path.as_uri() if k else str(path), "append")
+    assert read() == list(range(200))
+    formats.write_cdc_parquet(hundred(500), str(path))
+    assert read() == list(range(500, 600))
+    formats.write_cdc_parquet(hundred(0).where("id < 0"), str(path), "append")
+    assert read() == list(range(500, 600)) and len(list(path.iterdir())) == 3
+    with pytest.raises(PySparkException):
+        formats.write_cdc_parquet(hundred(0).selectExpr("id", "assert_true(id < 90) AS x"), str(path))
+    assert read() == list(range(500, 600)) and len(list(path.iterdir())) == 3
+    formats.write_cdc_parquet(hundred(0).where("id < 0"), str(path))
+    assert spark.read.parquet(str(path)).columns == ["id"] and read() == []
+
+
+def test_a_crash_before_the_commit_keeps_the_old_parts(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    formats.write_cdc_parquet(spark.range(10), path)
+    writer = formats.CdcParquet({"path": path}).writer(spark.range(1).schema, True)
+    left = f"{path}/.{writer.job}-part-00000-7.parquet"
+    pq.write_table(pa.table({"id": [1, 2]}), left)
+    assert spark.read.parquet(path).count() == 10
+    message = WriterCommitMessage()
+    message.file = left
+    writer.commit([message, None])
+    assert [r["id"] for r in spark.read.parquet(path).collect()] == [1, 2]
+
+
 def test_refusals():
     with pytest.raises(ValueError):
         formats.codec("brotli9")
