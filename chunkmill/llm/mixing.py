@@ -169,3 +169,25 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes from each."""
     done = copies(documents(spark, sf_dir))
     return done.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
+
+
+def mixing_targets(spark, sf_dir: str) -> DataFrame:
+    """The exact part of op2_mixing: sizes and their sources' targets."""
+    return op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def targets_sql(weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_COPIES) -> str:
+    """The rows of mixing_targets in DuckDB SQL: the excess is reshared until no source is above its cap."""
+    return f"""
+        WITH RECURSIVE own AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(list_extract({list(weights)}, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(weights)} + 1 AS INTEGER)) AS DOUBLE) AS weight FROM own GROUP BY source),
+        step AS (
+            SELECT 0 AS k, source, source_size, weight, false AS full_ FROM s
+            UNION ALL
+            SELECT k + 1, source, source_size, weight, full_ OR weight * level > {cap} * source_size FROM (
+                SELECT *, (sum(source_size) OVER () - sum(CASE WHEN full_ THEN {cap} * source_size ELSE 0 END) OVER ()) / sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER () AS level FROM step)
+            WHERE k < (SELECT count(*) FROM s)),
+        last AS (SELECT * FROM step WHERE k = (SELECT max(k) FROM step)),
+        t AS (SELECT source, source_size, CASE WHEN full_ THEN {cap} * source_size::DOUBLE ELSE weight * (sum(source_size) OVER () - sum(CASE WHEN full_ THEN {cap} * source_size ELSE 0 END) OVER ()) / sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER () END AS target FROM last)
+        SELECT doc_id, size, source_size, round(target, 3) AS target FROM own JOIN t ON own.source IS NOT DISTINCT FROM t.source
+    """

@@ -489,3 +489,27 @@ def joined(docs: DataFrame, **options) -> DataFrame:
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Components of all documents whose shingle sets are alike."""
     return joined(documents(spark, sf_dir))
+
+
+def links_sql(width: int = WIDTH, percent: int = PERCENT) -> str:
+    """Tables in DuckDB SQL: w (doc_id and words), d (each set's size and digest), r (its first document), and l, the links between these by comparing all pairs."""
+    return f"""
+        w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {width} THEN list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+        d AS (SELECT doc_id, count(*) AS n, md5(string_agg(sh, chr(10) ORDER BY sh)) AS d FROM s GROUP BY doc_id),
+        r AS (SELECT d, min(doc_id) AS rep, any_value(n) AS n FROM d GROUP BY d),
+        t AS (SELECT s.doc_id, s.sh, r.n FROM s JOIN r ON s.doc_id = r.rep),
+        l AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE AS jaccard FROM t a JOIN t b ON a.sh = b.sh AND a.doc_id < b.doc_id
+            GROUP BY 1, 2 HAVING 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*)))"""
+
+
+def oracle() -> str:
+    """The rows of op6_ngram_join in DuckDB SQL, following all links."""
+    return f"""
+        WITH RECURSIVE {links_sql()},
+        two AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        reach AS (SELECT rep AS x, rep AS root FROM r UNION SELECT two.y, reach.root FROM reach JOIN two USING (x)),
+        c AS (SELECT x, min(root) AS root FROM reach GROUP BY x)
+        SELECT w.doc_id, coalesce(d.n, 0) AS n_shingles, coalesce(c.root, w.doc_id) AS component_id
+        FROM w LEFT JOIN d USING (doc_id) LEFT JOIN r ON r.d = d.d LEFT JOIN c ON c.x = r.rep
+    """

@@ -124,7 +124,25 @@ def filtered(docs: DataFrame) -> DataFrame:
     return judged(inner).where("kept").select(*own)
 
 
+def _own_columns(done: DataFrame, *more: str) -> DataFrame:
+    return done.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col("_m")[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], *more)
+
+
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     """Measures and verdict of all documents."""
-    done = judged(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
-    return done.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col("_m")[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
+    return _own_columns(judged(documents(spark, sf_dir).select("doc_id", "text", "lang", "source")), "base_failed", "kept")
+
+
+def quality_measures(spark, sf_dir: str) -> DataFrame:
+    """The exact part of op9_quality: what the operator measures, and the base rule."""
+    return _own_columns(judged(documents(spark, sf_dir).select("doc_id", "text", "lang", "source")), "base_failed")
+
+
+MEASURES_SQL = r"""
+    WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+    v AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS win FROM w, range(1, greatest(len(w) - 3, 1)) r(i)),
+    twice AS (SELECT doc_id, win FROM v GROUP BY doc_id, win HAVING count(*) > 1),
+    rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM v JOIN twice USING (doc_id, win)) GROUP BY doc_id),
+    m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id))
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+"""

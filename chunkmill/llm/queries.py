@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_quality": quality.op9_quality,
     "op10_toxicity": toxicity.op10_toxicity,
+    "minhash_pairs": fingerprints.minhash_pairs,
+    "mixing_targets": mixing.mixing_targets,
+    "quality_measures": quality.quality_measures,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle(), "op6_ngram_join": ngram_join.oracle(), "minhash_pairs": fingerprints.pairs_oracle(), "mixing_targets": mixing.targets_sql(), "quality_measures": quality.MEASURES_SQL}
