@@ -236,3 +236,20 @@ def test_new_chunks_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["size"]) for r in spark.table("new").collect()) == [10, 64, 64]
+
+
+@pytest.mark.parametrize("sizes", [(1, 3), (700, 0, 9000), (8192, 20_011)])
+def test_samples_are_those_of_the_sequence(spark, sizes):
+    rng = np.random.default_rng(9)
+    rows = [(f, o, f"h{rng.integers(0, 40 + 400 * (o % 3))}", 1) for f, n in enumerate(sizes) for o in range(n)]
+    occ = spark.createDataFrame(rows, "file_idx long, ord long, hash string, size long")
+    first = {}
+    for f, _, h, _ in rows:
+        first[h] = min(f, first.get(h, f))
+    got = np.full((len(sizes) + 1, render.SAMPLES, 3), -1)
+    for r in render.samples(occ).collect():
+        got[r["picture"], r["i"]] = r["r"], r["g"], r["b"]
+    for k in range(-1, len(sizes)):
+        want = render.color_sequence(np.array([first[h] for f, _, h, _ in rows if k in (-1, f)], np.int64))
+        near = np.abs(got[k] - want) if k < 0 or sizes[k] else got[k] + 1
+        assert near.max() <= 1 and (near > 0).mean() < 0.02
