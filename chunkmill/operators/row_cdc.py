@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .positions import running_sum
@@ -26,10 +26,8 @@ def row_chunks(rows: DataFrame, text: Column, pos: str = "_pos", below: str = BE
     """
     marked = rows.select(*by, pos, text.alias("_text")).withColumn("_cut", (F.substring(F.md5(F.col("_text").cast("binary")), 1, 2) < below).cast("long"))
     numbered = running_sum(marked, F.col("_cut"), "chunk", pos, exclusive=True, by=by).drop("_cut")
-    long = numbered.groupBy(*by, "chunk").agg(F.min(pos).alias("_first"), F.count("*").alias("_n")).where(F.col("_n") > max_rows)
-    long = long.select(*[F.col(c).alias(f"_l{i}") for i, c in enumerate(by)], F.col("chunk").alias("_lc"), "_first")
-    same = [numbered[c].eqNullSafe(F.col(f"_l{i}")) for i, c in enumerate(by)] + [numbered["chunk"] == F.col("_lc")]
-    parted = numbered.join(long, same, "left").withColumn("_part", F.coalesce(F.floor((F.col(pos) - F.col("_first")) / max_rows), F.lit(0)))
+    first = F.min(pos).over(Window.partitionBy(*by, "chunk"))
+    parted = numbered.withColumn("_part", F.floor((F.col(pos) - first) / max_rows))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("_text").alias("t")))), lambda x: x["t"]), "\n")
     out = parted.groupBy(*by, "chunk", "_part").agg(F.min(pos).alias("first_pos"), F.count("*").alias("n_rows"), F.sum(F.octet_length("_text")).cast("long").alias("size"), F.md5(joined.cast("binary")).alias("hash"))
     return out.drop("_part")
