@@ -278,9 +278,19 @@ def packed(got, texts):
         whole[r["doc_tokens"]] += r["length"]
     lengths = Counter(n for n, _ in by_crc.elements())
     assert whole == Counter({n: n * k for n, k in lengths.items()})
+    same_size = {}
+    for x in ids.values():
+        same_size.setdefault(len(x), []).append(x)
+    cover = {}
     for r in got:
-        if r["length"] == r["doc_tokens"]:
-            assert (r["length"], r["ids_crc32"]) in by_crc
+        cover.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["start"] + r["length"]))
+        assert r["ids_crc32"] in {zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes()) for x in same_size[r["doc_tokens"]]}
+    for (_, n), parts in cover.items():  # each id lies in exactly one piece of each document
+        step = np.zeros(n + 1, np.int64)
+        for a, b in parts:
+            step[a] += 1
+            step[b] -= 1
+        assert len({*np.cumsum(step)[:-1].tolist()}) == 1 and step.sum() == 0
     assert max(sequences.values(), default=0) <= 4096
     return sum(4096 - n for n in sequences.values() if n & (n - 1))
 
