@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, documents, in_blocks, small_batches, whole
+from .common import documents, in_blocks, small_batches, whole
 from .tokenizing import cached, vocabulary
 
 #: Context sizes. All are powers of two, so that a full window of any tier needs no padding.
@@ -23,6 +23,8 @@ END_ID = 2
 STEP_TOKENS = 1 << 16
 #: Tokens that are packed together; what does not fill a window goes on to the next such group.
 GROUP_TOKENS = 1 << 21
+#: Bytes of text that are tokenized together, many enough for words to repeat.
+ENCODE_BYTES = 1 << 22
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -162,7 +164,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[i
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t.as_py() for t in batch.column(1)]
-            for a, b in in_blocks(texts, BLOCK_BYTES):
+            for a, b in in_blocks(texts, ENCODE_BYTES):
                 for doc_id, own in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
                     own = np.append(own, np.uint32(end_id))
                     docs_by_key[key] = doc_id, own
