@@ -94,7 +94,10 @@ def render(a) -> int:
 
 def page_chunks(a) -> int:
     """Histogram of data pages' sizes."""
-    histogram(data_page_sizes(session(), [str(p) for p in recursive(a.patterns)]), "uncompressed_bytes").orderBy("bin").show(100, truncate=False)
+    bins = histogram(data_page_sizes(session(), [str(p) for p in recursive(a.patterns)]), "uncompressed_bytes")
+    bins.orderBy("bin").show(100, truncate=False)
+    if a.plot:
+        report.histogram_html(bins, a.plot)
     return 0
 
 
@@ -115,7 +118,7 @@ def param_impact(a) -> int:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="chunkmill", description=__doc__)
-    top.add_argument("--plot", metavar="HTML", help="also write the ratios as bars")
+    top.add_argument("--plot", metavar="HTML", help="also write the ratios, or the histogram, as bars")
     sub = top.add_subparsers(required=True)
 
     def command(name: str, run, *args: tuple) -> None:

@@ -426,16 +426,16 @@ def ratio_color_bucket(spark, sf_dir):
     return results(spark, sf_dir).select("id", text.ratio_color(F.col("ratio"), F.lit(2)).alias("color"))
 
 
-@query(f"""WITH {_RESULTS}, five AS (SELECT format, params, min(ratio) AS r FROM res GROUP BY 1, 2)
-    SELECT format, max(r) FILTER (params = (SELECT min(params) FROM res)) AS least_params, max(r) FILTER (params = (SELECT max(params) FROM res)) AS greatest_params, min(r) AS best FROM five GROUP BY format""")
+@query(f"""WITH {_RESULTS}, each AS (SELECT format AS label, params, min(ratio) AS ratio FROM res GROUP BY 1, 2)
+    SELECT label, params, ratio, min(ratio) OVER (PARTITION BY label) AS best FROM each""")
 def pivot_ratio_by_params(spark, sf_dir):
-    """A row for each format, a column for a parameter string; null where there is none."""
-    rows = results(spark, sf_dir)
-    ends = rows.agg(F.min("params").alias("a"), F.max("params").alias("b")).first()
-    best = rows.groupBy("format", "params").agg(F.min("ratio").alias("r"))
-    wide = best.groupBy("format").pivot("params", sorted({ends["a"], ends["b"]})).agg(F.min("r"))
-    wide = wide.select("format", F.col(f"`{ends['a']}`").alias("least_params"), F.col(f"`{ends['b']}`").alias("greatest_params"))
-    return wide.join(best.groupBy("format").agg(F.min("r").alias("best")), "format")
+    """The report's table of a row for each format and a column for each parameter string, as rows of its cells, with the format's best."""
+    from .report import pivot
+
+    wide = pivot(results(spark, sf_dir).select(F.lit("all").alias("group"), "format", "params", F.col("ratio").alias("dedup_ratio")))
+    cells = [F.col(f"`{c}`") for c in wide.columns if c != "label"]
+    best = wide.select("*", F.array_min(F.array(*cells)).alias("best"))
+    return best.unpivot(["label", "best"], cells, "params", "ratio").where("ratio IS NOT NULL")
 
 
 @query(f"""WITH {_RESULTS} SELECT id, grp, coalesce(lag(grp) OVER (ORDER BY grp, ratio, id) <> grp, true) AS first_in_group FROM res""")

@@ -69,6 +69,14 @@ def bars_html(results: DataFrame, path: str | Path | None = None) -> str:
     return "\n".join(out)
 
 
+def histogram_html(bins: DataFrame, path: str | Path) -> None:
+    """A histogram (bin, low, high, n) as horizontal bars in plain HTML; the bins are few."""
+    rows = bins.orderBy("bin").collect()
+    most = max((r["n"] for r in rows), default=1)
+    lines = [f"<tr><td>{r['low']:.0f} – {r['high']:.0f}</td><td><div style='background:#1f77b4;width:{400 * r['n'] / most:.0f}px'>&nbsp;</div></td><td>{r['n']}</td></tr>" for r in rows]
+    Path(path).write_text("\n".join(["<table style='font-family:sans-serif'>", *lines, "</table>"]))
+
+
 def cells(occurrences: DataFrame) -> DataFrame:
     """file_idx, ord, doc, color, opacity, height: one cell for each document strip and chunk occurrence.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -13,6 +13,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: Page types of the Parquet format.
 PAGE_TYPES = {0: "data_page", 1: "index_page", 2: "dictionary_page", 3: "data_page_v2"}
 _HEAD = 1 << 16
+CHUNKS = "path string, row_group int, column string, first long, end long"
+PAGES = "path string, row_group int, column string, page_ord int, page_type string, uncompressed_bytes long, num_values long"
 
 
 class Compact:
@@ -68,32 +70,37 @@ class Compact:
         return out
 
 
-def pages(path: str) -> Iterator[tuple]:
-    """(row_group, column, page_ord, page_type, uncompressed_bytes, num_values) of one file."""
-    from .byte_blocks import open_range
-
+def column_chunks(path: str) -> Iterator[tuple]:
+    """(row_group, column, first, end) of one file's column chunks: where their bytes lie, by its footer."""
     with pq.ParquetFile(path) as f:
         meta = f.metadata
     for g in range(meta.num_row_groups):
         for c in range(meta.row_group(g).num_columns):
             col = meta.row_group(g).column(c)
             at = min(x for x in (col.dictionary_page_offset, col.data_page_offset) if x is not None)
-            end, n = at + col.total_compressed_size, 0
-            while at < end:
-                size = _HEAD
-                while True:
-                    head = Compact(open_range(path, at, min(size, end - at)))
-                    try:
-                        h = head.struct()
-                        break
-                    except IndexError:
-                        if size >= end - at:
-                            raise
-                        size *= 4
-                body = h.get(5) or h.get(7) or h.get(8) or {}
-                yield g, col.path_in_schema, n, PAGE_TYPES.get(h[1], "unknown"), h[2], body.get(1)
-                at += head.at + h[3]
-                n += 1
+            yield g, col.path_in_schema, at, at + col.total_compressed_size
+
+
+def pages(path: str, at: int, end: int) -> Iterator[tuple]:
+    """(page_ord, page_type, uncompressed_bytes, num_values) of the column chunk between two places of a file."""
+    from .byte_blocks import open_range
+
+    n = 0
+    while at < end:
+        size = _HEAD
+        while True:
+            head = Compact(open_range(path, at, min(size, end - at)))
+            try:
+                h = head.struct()
+                break
+            except IndexError:
+                if size >= end - at:
+                    raise
+                size *= 4
+        body = h.get(5) or h.get(7) or h.get(8) or {}
+        yield n, PAGE_TYPES.get(h[1], "unknown"), h[2], body.get(1)
+        at += head.at + h[3]
+        n += 1
 
 
 class _File(InputPartition):
@@ -101,6 +108,14 @@ class _File(InputPartition):
         self.path = path
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch of a schema of ints, longs and strings."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(cols, kinds, strict=True)], list(names))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [options[f"path{i}"] for i in range(int(options["paths"]))]
@@ -109,32 +124,40 @@ class _Reader(DataSourceReader):
         return [_File(p) for p in self.paths]
 
     def read(self, part: _File) -> Iterator[pa.RecordBatch]:
-        rows = [(part.path, *r) for r in pages(part.path)]
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-        cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "row_group", "column", "page_ord", "page_type", "uncompressed_bytes", "num_values"])
+        yield _batch([(part.path, *r) for r in column_chunks(part.path)], CHUNKS)
 
 
-class ParquetPages(DataSource):
-    """format("parquet_pages"): one row a page."""
+class ParquetColumnChunks(DataSource):
+    """format("parquet_column_chunks"): one row a column chunk, from the footers."""
 
     @classmethod
     def name(cls) -> str:
-        return "parquet_pages"
+        return "parquet_column_chunks"
 
     def schema(self) -> str:
-        return "path string, row_group int, column string, page_ord int, page_type string, uncompressed_bytes long, num_values long"
+        return CHUNKS
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
 
 def parquet_pages(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """The pages of files, a task for each file; no files give no rows."""
-    spark.dataSource.register(ParquetPages)
+    """One row a page of the files; no files give no rows.
+
+    Footers are read by a task for each file; then the column chunks, which are few and short rows, are dealt over tasks
+    that walk through their pages, so that a large file is no bottleneck.
+    """
+    spark.dataSource.register(ParquetColumnChunks)
     if not paths:
-        return spark.createDataFrame([], ParquetPages({}).schema())
-    return spark.read.format("parquet_pages").options(paths=str(len(paths)), **{f"path{i}": str(p) for i, p in enumerate(paths)}).load()
+        return spark.createDataFrame([], PAGES)
+    chunks = spark.read.format("parquet_column_chunks").options(paths=str(len(paths)), **{f"path{i}": str(p) for i, p in enumerate(paths)}).load()
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, group, column, first, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield _batch([(path, group, column, *r) for r in pages(path, first, end)], PAGES)
+
+    return chunks.repartition(spark.sparkContext.defaultParallelism, "path", "row_group", "column").mapInArrow(walk, PAGES)
 
 
 def data_page_sizes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

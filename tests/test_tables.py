@@ -201,7 +201,7 @@ def test_strips(spark):
     assert report.strips_html(occ).count('title="chunk') == 6
 
 
-def test_revisions(tmp_path):
+def test_revisions(tmp_path, capsys):
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@localhost", *a], check=True, capture_output=True)
     git("init", "-q")
     for text in ("one", "two"):
@@ -211,6 +211,8 @@ def test_revisions(tmp_path):
     out = listing.checkout_revisions(tmp_path / "f.txt", tmp_path / "out")
     assert [p.read_text() for p in out] == ["two", "one"] and all(p.name.startswith("f-") for p in out)
     assert listing.checkout_revisions(tmp_path / "f.txt", tmp_path / "none", until_rev="HEAD", from_rev="HEAD") == []
+    assert cli.main(["revisions", str(tmp_path / "f.txt"), "-d", str(tmp_path / "cli")]) == 0
+    assert "has 2 revisions" in capsys.readouterr().out and {p.read_text() for p in (tmp_path / "cli").iterdir()} == {"one", "two"}
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -222,11 +224,30 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["stats", str(tmp_path), "--with-json"]) == 0
     assert "combined" in capsys.readouterr().out
     assert cli.main(["rewrite", str(path)]) == 0
-    assert cli.main(["page-chunks", str(path)]) == 0
+    assert cli.main(["--plot", str(tmp_path / "pages.html"), "page-chunks", str(path)]) == 0
+    assert (tmp_path / "pages.html").read_text().count("<tr>") >= 1
     assert cli.main(["param-impact", str(path), str(tmp_path)]) == 1
     assert "Please specify" in capsys.readouterr().out
 
 
+def test_command_synthetic(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "variants", lambda gen, rows, *a, **k: edits.variants(gen, rows >> 12, *a, **k))
+    assert cli.main(["--plot", str(tmp_path / "bars.html"), "synthetic", '{"a": "int"}', "-d", str(tmp_path / "out"), "-s", "1", "-e", "2", "--with-json"]) == 0
+    shown = capsys.readouterr().out
+    for name in ("deleted", "inserted", "appended", "updated", "updated_a"):
+        assert f"s1c1e2-{name}" in shown and {p.name for p in (tmp_path / "out" / f"s1c1e2-{name}").iterdir()} == {"parquet-cpp", "parquet-rs", "jsonl"}
+        assert len(list((tmp_path / "out" / f"s1c1e2-{name}" / "parquet-cpp").glob("*.parquet"))) == 8
+    assert (tmp_path / "bars.html").exists()
+
+
+def test_command_param_impact(spark, tmp_path, capsys):
+    pq.write_table(pa.table({"a": list(range(3000))}), tmp_path / "v.parquet")
+    assert cli.main(["param-impact", str(tmp_path / "v.parquet"), str(tmp_path / "out"), "--row-group-size"]) == 0
+    shown = capsys.readouterr().out
+    assert all(f"rg={t}" in shown for t in ("2Ki", "64Ki", "4Mi"))
+    assert pq.read_metadata(next((tmp_path / "out").glob("*2048*.parquet"))).num_row_groups == 2
+
+
 def test_new_chunks_of_a_stream(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([("s", "a" * 64 + "b" * 64), ("t", "a" * 64)], "k string, text string").coalesce(1).write.parquet(str(src))
