@@ -18,6 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..session import register
+
 BLOCK_ROWS = 1 << 20
 #: Compression names that the second Parquet writer takes, in any case.
 CODECS = {"snappy": "snappy", "gzip": "gzip", "lz4": "lz4", "lz4_raw": "lz4", "zstd": "zstd", "uncompressed": None, "none": None}
@@ -252,7 +254,7 @@ class CdcParquet(DataSource):
 
 def write_cdc_parquet(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
     """Write with content-defined page boundaries: compression, row_group_size, data_page_size, and min_chunk_size, max_chunk_size, norm_level together."""
-    df.sparkSession.dataSource.register(CdcParquet)
+    register(df.sparkSession, CdcParquet)
     df.write.format("cdc_parquet").mode(mode).options(**{k: str(v) for k, v in options.items()}).save(path)
 
 

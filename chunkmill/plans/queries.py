@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.gear import Profile
 from ..operators import chunking, dedup, edits, row_cdc, synthetic
 from ..operators.positions import with_positions
 from ..session import shared_folder
@@ -146,8 +147,6 @@ def estimate_row(spark, sf_dir):
 @query()
 def compressed_ratio(spark, sf_dir):
     """LZ4 sizes depend on the encoder, so there is no SQL."""
-    from ..functions.gear import Profile
-
     occ = chunking.column_chunks(table(spark, sf_dir, "documents"), "text", "doc_id", "source", profile=Profile(9, 256))
     return dedup.stats(occ, "source", compressed=True)
 
@@ -212,6 +211,48 @@ def param_sweep(spark, sf_dir):
     return each[0].unionByName(each[1])
 
 
+# ---- content-defined chunks of bytes ----
+
+#: Short chunks, so that the short texts of the tables have several.
+_BYTES = Profile(6, 64, digest="md5")
+
+
+def _byte_chunks_sql(source: str, column: str, *keys: str) -> str:
+    """Chunks of a column's bytes: the 64-bit gear hash of the last 64 bytes, candidates where its upper 6 bits are zero, at least 64 bytes a chunk."""
+    k = ", ".join(keys)
+    return f"""WITH bytes AS (SELECT {k}, hex(encode({column})) AS x FROM {source} WHERE {column} IS NOT NULL),
+    split AS (SELECT {k}, unnest(regexp_extract_all(x, '..')) AS b, generate_subscripts(regexp_extract_all(x, '..'), 1) AS i FROM bytes WHERE x <> ''),
+    codes AS (SELECT printf('%02X', v) AS b, CAST('0x' || substr(md5(unhex(printf('%02X', v))), 1, 16) AS UBIGINT)::HUGEINT AS t FROM range(0, 256) r(v)),
+    h AS (SELECT {k}, i, (""" + " + ".join(f"(lag(t, {j}, 0::HUGEINT) OVER w % {1 << (64 - j)}::HUGEINT) * {1 << j}::HUGEINT" for j in range(64)) + f""") % {1 << 64}::HUGEINT AS h FROM split JOIN codes USING (b) WINDOW w AS (PARTITION BY {k} ORDER BY i)),
+    cand AS (SELECT {k}, list(i ORDER BY i) AS c FROM h WHERE h < {1 << 58}::HUGEINT GROUP BY {k}),
+    ends AS (SELECT {k}, x, list_append(list_reduce(list_prepend([0::BIGINT], list_transform(coalesce(c, []), lambda v: [v::BIGINT])), lambda a, b: CASE WHEN b[1] - a[-1] >= 64 THEN list_concat(a, b) ELSE a END), length(x) // 2) AS e FROM bytes LEFT JOIN cand USING ({k}))
+    SELECT {k}, o AS ord, e[o + 1] AS start, e[o + 2] - e[o + 1] AS size, md5(unhex(substr(x, 2 * e[o + 1] + 1, 2 * (e[o + 2] - e[o + 1])))) AS hash FROM ends, range(0, len(e) - 1) r(o)"""
+
+
+@query(_byte_chunks_sql("conversations", "text", "conv_id", "turn"))
+def byte_gear_chunks(spark, sf_dir):
+    """The byte chunker on a column."""
+    return chunking.column_chunks(table(spark, sf_dir, "conversations"), "text", "conv_id", "turn", profile=_BYTES).drop("lz4_size")
+
+
+@query(_byte_chunks_sql("pages", "html", "page_id"))
+def file_gear_chunks(spark, sf_dir):
+    """The byte chunker on files, a page's text in each, by blocks smaller than the files."""
+    folder = _folder(spark)
+    Path(folder).mkdir()
+
+    def write(batches):
+        for batch in batches:
+            for key, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                (Path(folder) / f"{key}.html").write_bytes(data)
+            yield batch.select([0])
+
+    rows = table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", F.col("html").cast("binary"))
+    keys = sorted(r["page_id"] for r in rows.mapInArrow(write, "page_id long").collect())  # the operator's argument is a list of files
+    chunks = chunking.file_chunks(spark, [f"{folder}/{k}.html" for k in keys], _BYTES, block=1 << 10)
+    return chunks.select(F.regexp_extract("path", r"(\d+)\.html$", 1).cast("long").alias("page_id"), "ord", "start", "size", "hash")
+
+
 # ---- content-defined chunks of rows, and edits ----
 
 _ORDER_COLUMNS = ("k", "cust", "cents", "status", "day")
@@ -506,6 +547,15 @@ def synthetic_schema_types(spark, sf_dir):
     return synthetic.generate(spark, {"a": "int", "b": "float", "c": "str", "d": "largestr", "e": "bool", "f": ["int"], "g": {"x": "int", "y": "str"}}, 1000)
 
 
+@query("SELECT 1000 AS n, 1000 AS positions, true AS ints, true AS floats, true AS texts, true AS long_texts, true AS lists, true AS structs")
+def synthetic_ranges(spark, sf_dir):
+    """What holds of a generated table whatever the draws are."""
+    whole = lambda c: F.col(c).between(0, 999_999)
+    sized = lambda c, low, high: F.char_length(c).between(low, high)
+    each = {"ints": whole("a"), "floats": whole("b"), "texts": sized("c", 10, 99), "long_texts": sized("d", 100, 999), "lists": F.size("f").between(0, 4) & F.forall("f", lambda x: x.between(0, 999_999)), "structs": whole("g.x") & sized("g.y", 10, 99)}
+    return synthetic_schema_types(spark, sf_dir).agg(F.count("*").alias("n"), F.countDistinct("_pos").alias("positions"), *[F.every(ok).alias(k) for k, ok in each.items()])
+
+
 def _parts(sf_dir: str, name: str) -> list[str]:
     """All files of a table: the one, or those that Spark reads of a folder."""
     path = Path(sf_dir) / f"{name}.parquet"
@@ -529,6 +579,16 @@ def parquet_page_sizes(spark, sf_dir):
     return pages.groupBy("column", "page_type").agg(F.count("*").alias("n"), F.sum("uncompressed_bytes").alias("bytes"), F.sum("num_values").alias("num_values"))
 
 
+_LINE_COLUMNS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+
+
+@query(f"""SELECT unnest({_LINE_COLUMNS}) AS "column", (SELECT count(*) FROM lineitem) AS num_values""")
+def parquet_page_values(spark, sf_dir):
+    """The values of each column's data pages: one a row."""
+    pages = parquet_pages.parquet_pages(spark, _parts(sf_dir, "lineitem")).where(F.col("page_type").startswith("data"))
+    return pages.groupBy("column").agg(F.sum("num_values").alias("num_values"))
+
+
 @query("SELECT * FROM orders")
 def cdc_parquet_roundtrip(spark, sf_dir):
     """Rows written with content-defined page boundaries and read again."""
@@ -548,3 +608,17 @@ def format_comparison(spark, sf_dir):
     o = orders(spark, sf_dir)
     formats = [ParquetFormat("snappy"), ParquetFormat("snappy", use_cdc=True), JsonLinesFormat()]
     return compare_formats_tables(spark, formats, {"insert": {"original": o, "insert": edited(spark, o, "insert")}}, _folder(spark), sanity_check=False)
+
+
+_LINE_LENGTHS = "(SELECT sum(strlen(CAST(to_json(x) AS VARCHAR)) + 1) FROM (SELECT {{'k': k, 'cust': cust, 'cents': cents, 'status': status, 'day': day}} AS x FROM {}))"
+
+
+@query(" UNION ALL ".join(f"""SELECT '{k}' AS "group", 'jsonl' AS format, '' AS params, 2 AS numfiles, CAST(n AS BIGINT) AS total_len FROM (WITH {_ORDERS}, {_AT}, {_EDITS[k]} SELECT {_LINE_LENGTHS.format('orders_')} + {_LINE_LENGTHS.format('edit')} AS n)""" for k in ("delete", "insert")))
+def format_comparison_lines(spark, sf_dir):
+    """The exact part of a comparison of formats: files and bytes of JSON lines, a table beside each of its edits."""
+    from .experiment import compare_formats_tables
+    from .formats import JsonLinesFormat
+
+    o = orders(spark, sf_dir)
+    groups = {k: {"original": o, k: edited(spark, o, k)} for k in ("delete", "insert")}
+    return compare_formats_tables(spark, [JsonLinesFormat()], groups, _folder(spark), sanity_check=False).select("group", "format", "params", "numfiles", "total_len")

@@ -11,6 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions.gear import OVERLAP, candidates
+from ..session import register
 
 BLOCK = 4 << 20
 
@@ -73,7 +74,7 @@ class ByteBlocks(DataSource):
 
 def byte_blocks(spark: SparkSession, paths: Sequence[str], block: int = BLOCK) -> DataFrame:
     """The files' blocks; file_idx is a path's place among paths."""
-    spark.dataSource.register(ByteBlocks)
+    register(spark, ByteBlocks)
     return spark.read.format("byte_blocks").options(paths=str(len(paths)), block=str(block), **{f"path{i}": str(p) for i, p in enumerate(paths)}).load()
 
 

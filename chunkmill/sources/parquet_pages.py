@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import register
+
 #: Page types of the Parquet format.
 PAGE_TYPES = {0: "data_page", 1: "index_page", 2: "dictionary_page", 3: "data_page_v2"}
 _HEAD = 1 << 16
@@ -147,7 +149,7 @@ def parquet_pages(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     Footers are read by a task for each file; then the column chunks, which are few and short rows, are dealt over tasks
     that walk through their pages, so that a large file is no bottleneck.
     """
-    spark.dataSource.register(ParquetColumnChunks)
+    register(spark, ParquetColumnChunks)
     if not paths:
         return spark.createDataFrame([], PAGES)
     chunks = spark.read.format("parquet_column_chunks").options(paths=str(len(paths)), **{f"path{i}": str(p) for i, p in enumerate(paths)}).load()
