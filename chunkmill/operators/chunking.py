@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.digests import digest, lz4_size
+from ..functions.digests import PIECE_BYTES, digest, lz4_size, measured
 from ..functions.gear import OPEN, Profile, boundaries, char_candidates, chunks
 from ..sources.byte_blocks import block_candidates, file_table, open_range
 
@@ -79,12 +79,13 @@ def column_chunks(df: DataFrame, column: str, *keys: str, profile: Profile = OPE
     return df.select(*keys, F.col(column).cast("binary")).mapInArrow(work, schema)
 
 
-def file_chunks(spark: SparkSession, paths: Sequence[str], profile: Profile = OPEN, store_data: bool = False, block: int = 4 << 20) -> DataFrame:
+def file_chunks(spark: SparkSession, paths: Sequence[str], profile: Profile = OPEN, store_data: bool = False, block: int = 4 << 20, piece: int = PIECE_BYTES) -> DataFrame:
     """file_idx, path, ord, start, size, hash, lz4_size (and data) of whole files; file_idx is a path's place in the argument, so a path given twice is two files.
 
     Blocks of all files are scanned in parallel for candidates, each with the bytes before it; a file's few candidates meet
     for the least-length rule; then chunks are read by their byte ranges, digested and compressed. A file larger than a
-    task is no bottleneck.
+    task is no bottleneck. A chunk of more than `piece` bytes, which a profile without a maximum may give where bytes do
+    not vary, is read and compressed in pieces of so many; only its data, if stored, is held whole.
     """
     if not paths:
         raise ValueError("no files")
@@ -106,11 +107,16 @@ def file_chunks(spark: SparkSession, paths: Sequence[str], profile: Profile = OP
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
-                data = [open_range(p, s, n) for p, s, n in zip(part.column("path").to_pylist(), part.column("start").to_pylist(), part.column("size").to_pylist(), strict=True)]
-                more = [pa.array([digest(d, profile.digest) for d in data], pa.string()), pa.array([lz4_size(d) for d in data], pa.int64())]
-                if store_data:
-                    more.append(pa.array(data, pa.binary()))
+                part, made, whole = batch.slice(a, 64), [], []
+                for path, start, size in zip(*(part.column(c).to_pylist() for c in ("path", "start", "size")), strict=True):
+                    places = range(start, start + max(size, 1), piece)
+                    pieces = (open_range(path, at, min(piece, start + size - at)) for at in places)
+                    if store_data:
+                        pieces = list(pieces)
+                        whole.append(b"".join(pieces))
+                    made.append(measured(pieces, profile.digest))
+                hashes, sizes = zip(*made, strict=True)
+                more = [pa.array(hashes, pa.string()), pa.array(sizes, pa.int64())] + ([pa.array(whole, pa.binary())] if store_data else [])
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [x.split()[0] for x in ddl.split(", ")])
 
     return ranges.repartition(spark.sparkContext.defaultParallelism, "file_idx", "ord").mapInArrow(read, ddl)

@@ -189,6 +189,16 @@ class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         self.path, self.options, self.overwrite, self.job = options.pop("path"), options, overwrite, uuid.uuid4().hex
         self.schema = to_arrow_schema(schema)
+        where, path = filesystem(self.path)
+        where.create_dir(path)
+        with where.open_output_stream(self._mark(path)):  # stands while the job runs
+            pass
+
+    def _mark(self, path: str) -> str:
+        return f"{path}/.{self.job}-running"
+
+    def _running(self, where: fs.FileSystem, path: str) -> bool:
+        return where.get_file_info(self._mark(path)).type == fs.FileType.File
 
     def _open(self, where: fs.FileSystem, file: str, schema: pa.Schema) -> pq.ParquetWriter:
         o = self.options
@@ -205,11 +215,14 @@ class _Writer(DataSourceArrowWriter):
         temporary = f"{path}/.{self.job}-part-{task.partitionId():05d}-{task.taskAttemptId()}.parquet"
         for batch in iterator:
             if out is None:
-                where.create_dir(path)
+                if not self._running(where, path):
+                    break
                 out = self._open(where, temporary, batch.schema)
             out.write_batch(batch, row_group_size=group)
         if out is not None:
             out.close()
+            if not self._running(where, path) and where.get_file_info(temporary).type == fs.FileType.File:  # aborted meanwhile
+                where.delete_file(temporary)
         message = WriterCommitMessage()
         message.file = temporary if out is not None else None
         return message
@@ -220,7 +233,6 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages: Iterable[WriterCommitMessage | None]) -> None:
         """Parts get names with the job's id; an overwrite removes the old ones last, so at no time are rows in neither."""
         where, path = filesystem(self.path)
-        where.create_dir(path)
         old = [f for f in self._files(where, path) if f.rsplit("/", 1)[-1].startswith("part-")] if self.overwrite else []
         made = [m.file for m in messages if m is not None and m.file]
         for file in made:
@@ -228,17 +240,22 @@ class _Writer(DataSourceArrowWriter):
             where.move(file, f"{path}/part-{number}-{self.job}.parquet")
         if not made and not any(f.rsplit("/", 1)[-1].startswith("part-") for f in self._files(where, path) if f not in old):
             self._open(where, f"{path}/part-00000-{self.job}.parquet", self.schema).close()
-        for file in [*old, *self._own(where, path)]:
+        for file in old:
             where.delete_file(file)
-
-    def _own(self, where: fs.FileSystem, path: str) -> list[str]:
-        """What attempts of this job that did not count have left."""
-        return [f for f in self._files(where, path) if f.rsplit("/", 1)[-1].startswith(f".{self.job}-")]
+        self._end(where, path)
+
+    def _end(self, where: fs.FileSystem, path: str) -> None:
+        """Remove what attempts of this job that did not count have left. The mark goes first: an attempt that is still at work closes its file before it looks for the mark, so one of the two removes the file."""
+        where.delete_file(self._mark(path))
+        for file in self._files(where, path):
+            if file.rsplit("/", 1)[-1].startswith(f".{self.job}-"):
+                try:
+                    where.delete_file(file)
+                except FileNotFoundError:  # by its attempt
+                    pass
 
     def abort(self, messages: Iterable[WriterCommitMessage | None]) -> None:
-        where, path = filesystem(self.path)
-        for file in self._own(where, path):
-            where.delete_file(file)
+        self._end(*filesystem(self.path))
 
 
 class CdcParquet(DataSource):

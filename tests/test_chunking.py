@@ -85,6 +85,14 @@ def test_file_chunks_equal_those_of_each_stream_for_any_block_size(spark, files)
             assert own["lz4_size"].tolist() == [lz4_size(bytes(x)) for x in own["data"]]
 
 
+def test_a_chunk_longer_than_a_piece_is_digested_whole(spark, tmp_path):
+    data = bytes(10_000)
+    (tmp_path / "zeros").write_bytes(data)
+    one, *more = chunking.file_chunks(spark, [str(tmp_path / "zeros")], SMALL, block=1 << 10, piece=4096).orderBy("ord").collect()
+    assert (one["size"], one["hash"], more) == (10_000, digest(data), [])
+    assert one["lz4_size"] == 2 * lz4_size(data[:4096]) + lz4_size(data[8192:])
+
+
 def test_merge_keeps_the_first_file_and_each_file_once(spark):
     occ = spark.createDataFrame([(0, 0, "x", 5), (0, 1, "x", 5), (1, 0, "y", 7), (2, 0, "y", 7), (2, 1, "x", 5)], "file_idx long, ord long, hash string, size long")
     got = {r["hash"]: (r["size"], r["first_seen_in"], r["seen_in"], r["n"]) for r in dedup.merge(occ).collect()}
