@@ -17,14 +17,28 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(text, "[^a-zA-Z0-9]+", "-")
 
 
+def one_decimal(x: Column) -> Column:
+    """A value from 1 to 2^52 with one decimal, as C's %.1f: its binary value rounded, ties to even. Java's would round the shortest decimal half up."""
+    whole = F.floor(x)
+    tenths = ((x - whole) * float(1 << 52)).cast("long") * 10
+    digit, rest = F.shiftright(tenths, 52), tenths.bitwiseAND((1 << 52) - 1)
+    up = (rest > 1 << 51) | ((rest == 1 << 51) & (digit % 2 == 1))
+    out = whole * 10 + digit + up.cast("long")
+    return F.concat_ws(".", F.floor(out / 10).cast("string"), (out % 10).cast("string"))
+
+
 def natural_size(n: Column, binary: bool = True) -> Column:
     """A size with one decimal in powers of 1024 (KiB) or 1000 (kB); bytes as they are."""
     base = 1024 if binary else 1000
     units = ("KiB", "MiB", "GiB", "TiB") if binary else ("kB", "MB", "GB", "TB")
-    out = F.format_string(f"%.1f {units[-1]}", n / F.lit(float(base ** len(units))))
+    scale = F.lit(float(base ** len(units)))
+    for k in range(len(units) - 1, 0, -1):
+        scale = F.when(n < base ** (k + 1), F.lit(float(base**k))).otherwise(scale)
+    unit = F.lit(units[-1])
     for k in range(len(units) - 1, 0, -1):
-        out = F.when(n < base ** (k + 1), F.format_string(f"%.1f {units[k - 1]}", n / F.lit(float(base**k)))).otherwise(out)
-    return F.when(n.isNull(), None).when(n == 1, F.lit("1 Byte")).when(n < base, F.format_string("%d Bytes", n.cast("long"))).otherwise(out)
+        unit = F.when(n < base ** (k + 1), F.lit(units[k - 1])).otherwise(unit)
+    large = F.concat_ws(" ", one_decimal(n / scale), unit)
+    return F.when(n.isNull(), None).when(n == 1, F.lit("1 Byte")).when(n < base, F.format_string("%d Bytes", n.cast("long"))).otherwise(large)
 
 
 def size_tag(n: Column) -> Column:

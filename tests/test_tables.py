@@ -12,6 +12,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql.datasource import WriterCommitMessage
 
 from chunkmill import cli
+from chunkmill.functions import text
 from chunkmill.operators import edits, positions, row_cdc, synthetic
 from chunkmill.plans import experiment, formats, render, report
 from chunkmill.sources import listing, parquet_pages
@@ -120,6 +121,23 @@ def test_row_chunks_survive_an_insertion(spark):
     assert len(hashes[1] - hashes[0]) <= 3
 
 
+@pytest.mark.parametrize("binary", [True, False])
+def test_sizes_are_rounded_as_printf_does(spark, binary):
+    base, units = (1024, ("KiB", "MiB", "GiB", "TiB")) if binary else (1000, ("kB", "MB", "GB", "TB"))
+    near = [base**k * q // 20 + d for k in (1, 2, 3, 4) for q in (20, 21, 23, 25, 27, 29, 35, 45, 247, 12685, 19995, 20479) for d in (-1, 0, 1)]
+    sizes = [None, 0, 1, 2, base - 1, *near, 4503599627369882, 2**63 - 1]
+
+    def want(n):
+        if n is None or n < base:
+            return None if n is None else "1 Byte" if n == 1 else f"{n} Bytes"
+        k = min(next(k for k in range(1, 99) if n < base ** (k + 1)), 4)
+        return f"{n / float(base**k):.1f} {units[k - 1]}"
+
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i int, n long")
+    got = df.select("i", "n", text.natural_size(df["n"], binary).alias("size")).orderBy("i").collect()
+    assert [(r["n"], r["size"]) for r in got] == [(n, want(n)) for n in sizes]
+
+
 @pytest.mark.parametrize("fmt,stem", [
     (formats.ParquetFormat(), ""), (formats.ParquetFormat("snappy", use_cdc=True), "snappy cdc"), (formats.ParquetFormat(use_cdc=True, row_group_size=2048, data_page_size=512), "cdc rg=2Ki dp=512Bytes"),
     (formats.ParquetFormat("zstd", row_group_size=1 << 20), "zstd rg=1Mi"), (formats.JsonLinesFormat("gzip"), "gzip"), (formats.SqliteFormat(), ""), (formats.ParquetFormat(use_dictionary=False), "nodict"),
