@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import re
 import sqlite3
+import threading
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import closing, contextmanager
 from dataclasses import asdict, dataclass
+from itertools import chain, zip_longest
 from pathlib import Path
 
 import pyarrow as pa
@@ -18,9 +21,14 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import register
+from ..session import register, shared_folder
 
+#: Rows of a row group where no number is given.
 BLOCK_ROWS = 1 << 20
+#: Bytes that are copied at once.
+COPY_BYTES = 1 << 22
+#: One file at a time is encoded on the driver, so that one row group is in its memory however many formats are compared.
+_ENCODING = threading.Lock()
 #: Compression names that the second Parquet writer takes, in any case.
 CODECS = {"snappy": "snappy", "gzip": "gzip", "lz4": "lz4", "lz4_raw": "lz4", "zstd": "zstd", "uncompressed": None, "none": None}
 
@@ -51,9 +59,98 @@ def size_tag(n: int) -> str:
     return f"{n}Bytes" if n != 1 else "1Byte"
 
 
+def _ordered(df: DataFrame) -> DataFrame:
+    """A positional table's rows in order, without their positions."""
+    return df.orderBy("_pos").drop("_pos") if "_pos" in df.columns else df
+
+
 def arrow_table(df: DataFrame) -> pa.Table:
-    """A positional table's rows in order, without their positions; for single-file sinks whose writer runs on the driver."""
-    return (df.orderBy("_pos").drop("_pos") if "_pos" in df.columns else df).toArrow()
+    """A positional table's rows in order, all of them in the driver's memory: for small tables."""
+    return _ordered(df).toArrow()
+
+
+def _arrow_schema(df: DataFrame) -> pa.Schema:
+    """The schema that the table has when it is collected by Arrow."""
+    large = df.sparkSession.conf.get("spark.sql.execution.arrow.useLargeVarTypes") == "true"
+    return to_arrow_schema(df.schema, error_on_duplicated_field_names_in_struct=True, prefers_large_types=large)
+
+
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), str(Path(path.removeprefix("file:")).absolute())
+
+
+@contextmanager
+def parts(df: DataFrame, put: Callable[[Iterable[pa.RecordBatch], pa.NativeFile], None]) -> Iterator[tuple[fs.FileSystem, list[str]]]:
+    """A table's rows in order as files in the shared folder, one of each partition that has rows, which its task writes by `put`; removed at the end."""
+    df, folder = _ordered(df), f"{shared_folder(df.sparkSession)}/chunkmill-{uuid.uuid4().hex}"
+    schema = _arrow_schema(df)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        batches = iter(batches)
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        task, (where, path) = TaskContext.get(), filesystem(folder)
+        name = f"{path}/{task.partitionId():06d}-{task.taskAttemptId()}"
+        with where.open_output_stream(name) as out:
+            put((b.cast(schema) for b in chain([first], batches)), out)
+        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([name])], ["part", "name"])
+
+    where, path = filesystem(folder)
+    where.create_dir(path)
+    try:
+        yield where, [r["name"] for r in sorted(df.mapInArrow(work, "part long, name string").collect())]
+    finally:
+        where.delete_dir(path)
+
+
+def _arrow_file(batches: Iterable[pa.RecordBatch], out: pa.NativeFile) -> None:
+    batches = iter(batches)
+    first = next(batches)
+    with pa.ipc.new_stream(out, first.schema) as to:
+        to.write_batch(first)
+        for batch in batches:
+            to.write_batch(batch)
+
+
+@contextmanager
+def record_batches(src: DataFrame | str | Path) -> Iterator[tuple[pa.Schema, Iterator[pa.RecordBatch]]]:
+    """The schema and the rows in order of a table or a Parquet file, a batch at a time."""
+    if not isinstance(src, DataFrame):
+        with pq.ParquetFile(src) as f:
+            yield f.schema_arrow, f.iter_batches(batch_size=1 << 14)
+        return
+
+    def read(where: fs.FileSystem, names: list[str]) -> Iterator[pa.RecordBatch]:
+        for name in names:
+            with where.open_input_stream(name) as f, pa.ipc.open_stream(f) as batches:
+                yield from batches
+
+    with parts(src, _arrow_file) as (where, names):
+        yield _arrow_schema(_ordered(src)), read(where, names)
+
+
+def tables_of(batches: Iterable[pa.RecordBatch], schema: pa.Schema, rows: int) -> Iterator[pa.Table]:
+    """The rows as tables of so many rows, each in one piece, whatever batches they come in; one without rows where there are none."""
+    held, n, some = [], 0, False
+    for batch in batches:
+        while n + batch.num_rows >= rows:
+            yield pa.Table.from_batches([*held, batch.slice(0, rows - n)], schema).combine_chunks()
+            batch, held, n, some = batch.slice(rows - n), [], 0, True
+        held.append(batch)
+        n += batch.num_rows
+    if n or not some:
+        yield pa.Table.from_batches(held, schema).combine_chunks()
+
+
+def same_batches(a: Iterable[pa.RecordBatch], b: Iterable[pa.RecordBatch], schema: pa.Schema) -> bool:
+    """Whether two tables have equal rows in order, whatever batches they come in."""
+    return all(x is not None and y is not None and x.equals(y) for x, y in zip_longest(tables_of(a, schema, 1 << 14), tables_of(b, schema, 1 << 14)))
 
 
 @dataclass(frozen=True)
@@ -126,7 +223,9 @@ class ParquetFormat(FileFormat):
     def _put(self, src, dest: Path) -> None:
         options = self.options()
         if isinstance(src, DataFrame):
-            pq.write_table(arrow_table(src), dest, row_group_size=self.row_group_size, **options)
+            with record_batches(src) as (schema, batches), _ENCODING, pq.ParquetWriter(dest, schema, **options) as out:
+                for table in tables_of(batches, schema, self.row_group_size or BLOCK_ROWS):
+                    out.write_table(table, self.row_group_size)
             return
         with pq.ParquetFile(src) as f, pq.ParquetWriter(dest, f.schema_arrow, **options) as out:
             for batch in f.iter_batches(batch_size=BLOCK_ROWS):
@@ -134,7 +233,8 @@ class ParquetFormat(FileFormat):
 
     def _check(self, src, dest: Path) -> None:
         if isinstance(src, DataFrame):
-            same = arrow_table(src).equals(pq.read_table(dest))
+            with record_batches(src) as (schema, want), pq.ParquetFile(dest) as f:
+                same = schema.equals(f.schema_arrow) and same_batches(want, f.iter_batches(batch_size=1 << 14), schema)
         else:
             a, b = pq.read_metadata(src), pq.read_metadata(dest)
             same = a.num_rows == b.num_rows and a.schema.to_arrow_schema() == b.schema.to_arrow_schema()
@@ -142,6 +242,13 @@ class ParquetFormat(FileFormat):
             raise AssertionError(f"{dest} does not hold the rows of its source")
 
 
+def _json_lines(batches: Iterable[pa.RecordBatch], out: pa.NativeFile) -> None:
+    line = json.JSONEncoder(ensure_ascii=False, default=str, separators=(",", ":")).encode
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1 << 12):
+            out.write("".join(line(r) + "\n" for r in batch.slice(a, 1 << 12).to_pylist()).encode())
+
+
 @dataclass(frozen=True)
 class JsonLinesFormat(FileFormat):
     """One JSON object a line, nulls written."""
@@ -150,10 +257,16 @@ class JsonLinesFormat(FileFormat):
     suffix = "jsonlines"
 
     def _put(self, src, dest: Path) -> None:
-        table = arrow_table(src) if isinstance(src, DataFrame) else pq.read_table(src)
         with pa.output_stream(str(dest), compression=self.compression) as out:
-            for batch in table.to_batches(max_chunksize=1 << 14):
-                out.write("".join(json.dumps(r, ensure_ascii=False, default=str, separators=(",", ":")) + "\n" for r in batch.to_pylist()).encode())
+            if not isinstance(src, DataFrame):
+                with record_batches(src) as (_, batches):
+                    _json_lines(batches, out)
+                return
+            with parts(src, _json_lines) as (where, names):
+                for name in names:
+                    with where.open_input_stream(name) as f:
+                        while data := f.read(COPY_BYTES):
+                            out.write(data)
 
 
 @dataclass(frozen=True)
@@ -164,25 +277,13 @@ class SqliteFormat(FileFormat):
     suffix = "sqlite"
 
     def _put(self, src, dest: Path) -> None:
-        table = arrow_table(src) if isinstance(src, DataFrame) else pq.read_table(src)
-        quoted = ", ".join('"' + c.replace('"', '""') + '"' for c in table.column_names)
-        con = sqlite3.connect(dest)
-        try:
-            with con:
-                con.execute('DROP TABLE IF EXISTS "table"')
-                con.execute(f'CREATE TABLE "table" ({quoted})')
-                marks = ", ".join("?" * table.num_columns)
-                for batch in table.to_batches(max_chunksize=1 << 14):
-                    con.executemany(f'INSERT INTO "table" VALUES ({marks})', [[v if isinstance(v, (int, float, str, bytes, type(None))) else json.dumps(v, default=str) for v in r.values()] for r in batch.to_pylist()])
-        finally:
-            con.close()
-
-
-def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), str(Path(path.removeprefix("file:")).absolute())
+        with record_batches(src) as (schema, batches), _ENCODING, closing(sqlite3.connect(dest)) as con, con:
+            quoted = ", ".join('"' + c.replace('"', '""') + '"' for c in schema.names)
+            con.execute('DROP TABLE IF EXISTS "table"')
+            con.execute(f'CREATE TABLE "table" ({quoted})')
+            marks = ", ".join("?" * len(schema.names))
+            for batch in batches:
+                con.executemany(f'INSERT INTO "table" VALUES ({marks})', [[v if isinstance(v, (int, float, str, bytes, type(None))) else json.dumps(v, default=str) for v in r.values()] for r in batch.to_pylist()])
 
 
 class _Writer(DataSourceArrowWriter):

@@ -1,8 +1,10 @@
+import gzip
 import hashlib
 import json
 import sqlite3
 import subprocess
 import time
+from contextlib import closing
 
 import numpy as np
 import pyarrow as pa
@@ -167,6 +169,33 @@ def test_round_trips(spark, tmp_path):
     assert edits.same_rows(spark.read.parquet(str(tmp_path / "sink")), t)
 
 
+@pytest.mark.parametrize("rows", [0, 5, 100])
+def test_one_file_sinks_do_not_collect_the_table(spark, tmp_path, monkeypatch, rows):
+    t = spark.range(rows).selectExpr("99 - id AS _pos", "id AS a", "if(id % 3 = 0, null, concat('ü', id)) AS b", "timestamp_seconds(id) AS c").repartition(7)
+    want = formats.arrow_table(t).combine_chunks()
+    pq.write_table(want, tmp_path / "want.parquet", row_group_size=30, compression="zstd", use_content_defined_chunking=True)
+    lines = "".join(json.dumps(r, ensure_ascii=False, default=str, separators=(",", ":")) + "\n" for r in want.to_pylist())
+
+    def collected(*_):
+        raise AssertionError("the whole table came to the driver")
+
+    monkeypatch.setattr(formats, "arrow_table", collected)
+    monkeypatch.setattr(type(t), "toArrow", collected)
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        parquet = formats.ParquetFormat("zstd", use_cdc=True, row_group_size=30)
+        assert parquet.write("t", t, tmp_path).read_bytes() == (tmp_path / "want.parquet").read_bytes()
+        with pytest.raises(AssertionError, match="does not hold"):
+            parquet._check(t.withColumn("a", t["a"] + (t["a"] == rows - 1).cast("long")) if rows else t.select("_pos", "a"), tmp_path / "want.parquet")
+        assert formats.JsonLinesFormat().write("t", t, tmp_path).read_text() == lines
+        assert gzip.decompress(formats.JsonLinesFormat("gzip").write("t", t, tmp_path).read_bytes()).decode() == lines
+        db = formats.SqliteFormat().write("t", t.select("_pos", "a", "b"), tmp_path)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    with closing(sqlite3.connect(db)) as con:
+        assert con.execute('SELECT a, b FROM "table"').fetchall() == [tuple(r.values()) for r in want.drop(["c"]).to_pylist()]
+
+
 def test_sink_loses_no_rows(spark, tmp_path):
     path = tmp_path / "sink"
     hundred = lambda a: spark.range(a, a + 100, numPartitions=3)
