@@ -55,3 +55,16 @@ def test_all_part_files_are_read(spark, tmp_path):
     assert QUERIES["file_bytes_dedup"](spark, str(tmp_path)).first()["total_len"] == size["orders"] + 2 * size["lineitem"]
     pages = QUERIES["parquet_page_sizes"](spark, str(tmp_path)).where("page_type LIKE 'data%' AND column = 'l_orderkey'")
     assert pages.agg({"num_values": "sum"}).first()[0] == spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["format_comparison", "format_comparison_lines"])
+def test_formats_are_compared_without_collecting_tables(spark, monkeypatch, name):
+    from pyspark.sql import DataFrame
+
+    def collected(self):
+        raise AssertionError("the whole table came to the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", collected)
+    monkeypatch.setattr(DataFrame, "toArrow", collected)
+    rows = QUERIES[name](spark, DATA).collect()
+    assert len(rows) in (2, 3) and all(r["numfiles"] == 2 and r["total_len"] > 0 for r in rows)
