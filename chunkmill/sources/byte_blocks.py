@@ -14,6 +14,8 @@ from ..functions.gear import OVERLAP, candidates
 from ..session import register
 
 BLOCK = 4 << 20
+#: Bytes that a partition reads; a block counts as so many more, for what opening its file and a scan cost at least.
+PARTITION, OPENING = 4 << 20, 1 << 14
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
@@ -35,9 +37,11 @@ def length(path: str) -> int:
     return info.size
 
 
-class _Block(InputPartition):
-    def __init__(self, file_idx: int, path: str, start: int, size: int):
-        self.file_idx, self.path, self.start, self.size = file_idx, path, start, size
+class _Blocks(InputPartition):
+    """Blocks as (file_idx, path, start, size)."""
+
+    def __init__(self, blocks: list[tuple[int, str, int, int]]):
+        self.blocks = blocks
 
 
 class _Reader(DataSourceReader):
@@ -45,21 +49,28 @@ class _Reader(DataSourceReader):
         self.paths = [options[f"path{i}"] for i in range(int(options["paths"]))]
         self.block = int(options.get("block", BLOCK))
 
-    def partitions(self) -> list[_Block]:
-        out = []
+    def partitions(self) -> list[_Blocks]:
+        out, room = [], 0
         for i, p in enumerate(self.paths):
             n = length(p)
-            out += [_Block(i, p, a, min(self.block, n - a)) for a in range(0, n, self.block)] or [_Block(i, p, 0, 0)]
-        return out
-
-    def read(self, part: _Block) -> Iterator[pa.RecordBatch]:
-        lead = min(OVERLAP, part.start)
-        data = open_range(part.path, part.start - lead, part.size + lead)
-        yield pa.RecordBatch.from_arrays([pa.array([part.file_idx], pa.int64()), pa.array([part.path]), pa.array([part.start], pa.int64()), pa.array([data[:lead]], pa.binary()), pa.array([data[lead:]], pa.binary())], ["file_idx", "path", "start", "before", "bytes"])
+            for a in range(0, max(n, 1), self.block):
+                size = min(self.block, n - a)
+                if room < size + OPENING:
+                    out.append([])
+                    room = max(PARTITION, size + OPENING)
+                out[-1].append((i, p, a, size))
+                room -= size + OPENING
+        return [_Blocks(x) for x in out]
+
+    def read(self, part: _Blocks) -> Iterator[pa.RecordBatch]:
+        for file_idx, path, start, size in part.blocks:
+            lead = min(OVERLAP, start)
+            data = open_range(path, start - lead, size + lead)
+            yield pa.RecordBatch.from_arrays([pa.array([file_idx], pa.int64()), pa.array([path]), pa.array([start], pa.int64()), pa.array([data[:lead]], pa.binary()), pa.array([data[lead:]], pa.binary())], ["file_idx", "path", "start", "before", "bytes"])
 
 
 class ByteBlocks(DataSource):
-    """format("byte_blocks"): file_idx, path, start, before (bytes of context), bytes; a partition for each block."""
+    """format("byte_blocks"): file_idx, path, start, before (bytes of context), bytes; a partition has blocks of some 4 MB, a larger block is one of its own."""
 
     @classmethod
     def name(cls) -> str:

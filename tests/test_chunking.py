@@ -9,6 +9,7 @@ from chunkmill.functions import gear
 from chunkmill.functions.digests import digest, lz4_size
 from chunkmill.operators import chunking, dedup
 from chunkmill.plans import experiment
+from chunkmill.sources import byte_blocks
 
 SMALL = gear.Profile(mask_bits=6, min_len=64)
 
@@ -140,3 +141,21 @@ def test_blocks_of_a_long_text(spark):
     tail = text[64 * last["ord"] :].encode()
     assert (last["k"], last["hash"], last["size"]) == (1, hashlib.md5(tail).hexdigest(), len(tail))
     got.unpersist()
+
+
+def test_small_blocks_share_partitions(spark, tmp_path):
+    paths = []
+    for i in range(40):
+        paths.append(str(tmp_path / str(i)))
+        (tmp_path / str(i)).write_bytes(bytes([i]) * (300 * i))
+    blocks = byte_blocks.byte_blocks(spark, [*paths, paths[-1]], 1 << 10)
+    assert blocks.rdd.getNumPartitions() < 8
+    got = sorted(tuple(r) for r in blocks.select("file_idx", "start", "before", "bytes").collect())
+    assert len(got) == sum(max(1, -(-300 * i // 1024)) for i in [*range(40), 39])
+    for k, i in enumerate([*range(40), 39]):
+        own = [r for r in got if r[0] == k]
+        assert b"".join(bytes(r[3]) for r in own) == bytes([i]) * (300 * i) and [r[1] for r in own] == [1024 * j for j in range(len(own))]
+        assert all(len(r[2]) == min(63, r[1]) for r in own)
+    large = tmp_path / "large"
+    large.write_bytes(bytes(9 << 20))
+    assert byte_blocks.byte_blocks(spark, [str(large)]).rdd.getNumPartitions() == 3
