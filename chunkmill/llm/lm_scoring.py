@@ -26,6 +26,9 @@ CONTEXT_BITS, WORD_BITS = 48, 40
 #: Codes for each factor of ten; code 1 is probability 1, 0 is none. A probability is rounded down, so sums stay under 1.
 STEPS = 32
 
+#: Places of a block's tokens, words and n-grams, of which there are fewer than 2^31.
+PLACE = np.int32
+
 BEGIN, END = np.uint64(0x2B7E151628AED2A7), np.uint64(0x5D8F1C3A9B7E6421)
 
 
@@ -64,7 +67,7 @@ class Block:
         tokens[inner] = np.concatenate([f[0] for f in found])
         tokens[-1] = BEGIN
         words, index = np.unique(tokens, return_inverse=True)
-        return cls(doc_ids, np.array(held, bool), sizes, words, index[:-1])
+        return cls(doc_ids, np.array(held, bool), sizes, words, index[:-1].astype(PLACE))
 
     def packed(self) -> bytes:
         """Words by frequency, so that most places are small, and places as planes of bytes."""
@@ -84,7 +87,7 @@ class Block:
         words, planes = unpack(blob[a + 8 : b]).column("word").to_numpy(), unpack(blob[b:])
         place = np.stack([planes.column(str(k)).to_numpy() for k in range(4)], 1).view(np.uint32).ravel()
         o = np.argsort(words)
-        rank = np.empty(len(o), np.int64)
+        rank = np.empty(len(o), PLACE)
         rank[o] = np.arange(len(o))
         return cls(docs.column("doc_id").to_pylist(), held, docs.column("size").to_numpy(), words[o], rank[place])
 
@@ -111,19 +114,21 @@ class Grams:
 def grams(x: Block, order: int) -> list[Grams]:
     """The n-grams of orders 2 to order. The first token's context is the beginning; from order 3 on, an n-gram reaches back to the beginning at most."""
     first = np.cumsum(x.sizes) - x.sizes
-    offset = np.arange(len(x.index)) - np.repeat(first, x.sizes)
-    before, n, out = np.append(0, x.index[:-1]), len(x.words), []
+    offset = np.arange(len(x.index), dtype=PLACE) - np.repeat(first.astype(PLACE), x.sizes)
+    before, n, out = np.append(PLACE(0), x.index[:-1]), len(x.words), []
     before[first] = np.searchsorted(x.words, BEGIN)
     for k in range(2, order + 1):
         own = np.flatnonzero(offset >= k - 2)
-        key = before[own] * n + x.index[own]
+        key = before[own].astype(np.int64) * n + x.index[own]
         o = np.argsort(key)
-        key, own = key[o], own[o]
+        key, own = key[o], own[o].astype(PLACE)
+        del o
         new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
-        at = np.full(len(x.index), -1, np.int64)
-        at[own] = np.cumsum(new) - 1
-        out.append(Grams(key[new] // n, key[new] % n, own[new], at))
-        before = np.append(-1, at[:-1])
+        at = np.full(len(x.index), -1, PLACE)
+        at[own] = np.cumsum(new, dtype=PLACE) - PLACE(1)
+        key = key[new]
+        out.append(Grams((key // n).astype(PLACE), (key % n).astype(PLACE), own[new], at))
+        before = np.append(PLACE(-1), at[:-1])
     return out
 
 
@@ -161,9 +166,9 @@ def layout(x: Block, g: Grams, below: Known, suffix: np.ndarray, n: int, share:
     bucket = ((home[own] + part) % np.uint64(n)).astype(np.int64)
     rank = np.empty(len(home), np.int64)
     rank[np.argsort(below.hashes)] = np.arange(len(home))
-    o = np.argsort((bucket * len(home) + rank[own]) * len(x.words) + word)
+    o = np.argsort((bucket * len(home) + rank[own]) * len(x.words) + word).astype(PLACE)
     found, first = np.unique(bucket[o], return_index=True)
-    return Layout(rows[o], found, np.append(first, len(o)))
+    return Layout(rows[o].astype(PLACE), found, np.append(first, len(o)))
 
 
 _ROWS = "bucket int, block long, blob binary"
@@ -238,7 +243,8 @@ class Answered:
         got: dict[int, list[tuple[int, bytes]]] = {}
         for k, bucket, b in rows:
             got.setdefault(k, []).append((bucket, b))
-        words = [unpack(b) for _, b in got[1]]
+        del rows
+        words = [unpack(b) for _, b in got.pop(1)]
         self.known = [Known(self.x.words, *(np.concatenate([t.column(c).to_numpy() for t in words]) for c in ("count", "heavy", "alone")))]
         self.known[0].alone = self.known[0].alone.astype(bool)
         self.grams = grams(self.x, order)
@@ -251,7 +257,7 @@ class Answered:
             self.layouts.append(lay)
             at = g.at
             if k + 2 <= answered:
-                self._take(g, context, lay, got.get(k + 2, []), last=k + 2 == order == answered)
+                self._take(g, context, lay, got.pop(k + 2, []), last=k + 2 == order == answered)
 
     def _take(self, g: Grams, context: Known, lay: Layout, answers: list[tuple[int, bytes]], last: bool) -> None:
         if [b for b, _ in answers] != lay.bucket.tolist():
@@ -372,6 +378,8 @@ def _finished(order: int, n: int, share: float, tokens: int, words: int):
         for blob in kept.column("blob").to_pylist():
             a = Answered(blob, answers, order, order, n, share)
             x = a.x
+            for known in a.known:  # asked with, not needed for the answer
+                known.hashes = known.heavy = known.alone = np.empty(0)
             low = (a.known[0].count + 1) / (tokens + words + 1)
             p, at = low, x.index
             token = low[x.index]

@@ -149,6 +149,15 @@ def test_scores_do_not_depend_on_how_work_is_dealt(spark, docs, order, options):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_a_block_keeps_its_places_in_32_bits():
+    texts = [b"a b a b c " * 50, b"", b"a c " * 70]
+    x = lm_scoring.Block.of([1, 2, 3], [False, True, False], texts)
+    for block in (x, lm_scoring.Block.opened(x.packed())):
+        assert block.index.dtype.itemsize == 4 and block.index.tolist() == x.index.tolist()
+        for g in lm_scoring.grams(block, 3):
+            assert all(a.dtype.itemsize == 4 for a in (g.context, g.word, g.token, g.at))
+
+
 def test_scores_of_odd_tables(docs, none):
     assert lm_scoring.score(none, lm_scoring.held_out()).count() == 0
     base = lm_scoring.score(docs, F.lit(True)).collect()
