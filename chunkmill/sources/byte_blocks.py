@@ -37,6 +37,28 @@ def length(path: str) -> int:
     return info.size
 
 
+def dealt(paths: Sequence[str], block: int = BLOCK) -> list[list[tuple[int, str, int, int]]]:
+    """For each partition its blocks as (file_idx, path, start, size): some 4 MB of them, or one that is larger."""
+    out, room = [], 0
+    for i, p in enumerate(paths):
+        n = length(p)
+        for a in range(0, max(n, 1), block):
+            size = min(block, n - a)
+            if room < size + OPENING:
+                out.append([])
+                room = max(PARTITION, size + OPENING)
+            out[-1].append((i, p, a, size))
+            room -= size + OPENING
+    return out
+
+
+def _block(path: str, start: int, size: int) -> tuple[bytes, bytes]:
+    """The bytes of context before a block, and the block's."""
+    lead = min(OVERLAP, start)
+    data = open_range(path, start - lead, size + lead)
+    return data[:lead], data[lead:]
+
+
 class _Blocks(InputPartition):
     """Blocks as (file_idx, path, start, size)."""
 
@@ -50,23 +72,12 @@ class _Reader(DataSourceReader):
         self.block = int(options.get("block", BLOCK))
 
     def partitions(self) -> list[_Blocks]:
-        out, room = [], 0
-        for i, p in enumerate(self.paths):
-            n = length(p)
-            for a in range(0, max(n, 1), self.block):
-                size = min(self.block, n - a)
-                if room < size + OPENING:
-                    out.append([])
-                    room = max(PARTITION, size + OPENING)
-                out[-1].append((i, p, a, size))
-                room -= size + OPENING
-        return [_Blocks(x) for x in out]
+        return [_Blocks(x) for x in dealt(self.paths, self.block)]
 
     def read(self, part: _Blocks) -> Iterator[pa.RecordBatch]:
         for file_idx, path, start, size in part.blocks:
-            lead = min(OVERLAP, start)
-            data = open_range(path, start - lead, size + lead)
-            yield pa.RecordBatch.from_arrays([pa.array([file_idx], pa.int64()), pa.array([path]), pa.array([start], pa.int64()), pa.array([data[:lead]], pa.binary()), pa.array([data[lead:]], pa.binary())], ["file_idx", "path", "start", "before", "bytes"])
+            before, data = _block(path, start, size)
+            yield pa.RecordBatch.from_arrays([pa.array([file_idx], pa.int64()), pa.array([path]), pa.array([start], pa.int64()), pa.array([before], pa.binary()), pa.array([data], pa.binary())], ["file_idx", "path", "start", "before", "bytes"])
 
 
 class ByteBlocks(DataSource):
@@ -95,12 +106,19 @@ def file_table(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def block_candidates(spark: SparkSession, paths: Sequence[str], mask_bits: int, block: int = BLOCK) -> DataFrame:
-    """file_idx, cut: candidate boundaries as offsets in their file."""
+    """file_idx, cut: candidate boundaries as offsets in their file.
+
+    The tasks are the data source's partitions, but read their blocks themselves: planning a Python data source starts
+    Python workers beside the driver, in its memory, several for each query that is planned at once.
+    """
+    blocks = dealt([str(p) for p in paths], block)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for idx, start, before, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                cut = candidates(data, before, mask_bits) + start
-                yield pa.RecordBatch.from_arrays([pa.array([idx] * len(cut), pa.int64()), pa.array(cut, pa.int64())], ["file_idx", "cut"])
+            for i in batch.column(0).to_pylist():
+                for idx, path, start, size in blocks[i]:
+                    before, data = _block(path, start, size)
+                    cut = candidates(data, before, mask_bits) + start
+                    yield pa.RecordBatch.from_arrays([pa.array([idx] * len(cut), pa.int64()), pa.array(cut, pa.int64())], ["file_idx", "cut"])
 
-    return byte_blocks(spark, paths, block).select("file_idx", "start", "before", "bytes").mapInArrow(work, "file_idx long, cut long")
+    return spark.range(0, len(blocks), 1, max(1, len(blocks))).mapInArrow(work, "file_idx long, cut long")

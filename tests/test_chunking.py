@@ -159,3 +159,20 @@ def test_small_blocks_share_partitions(spark, tmp_path):
     large = tmp_path / "large"
     large.write_bytes(bytes(9 << 20))
     assert byte_blocks.byte_blocks(spark, [str(large)]).rdd.getNumPartitions() == 3
+
+
+def test_candidates_need_no_python_worker_beside_the_driver(spark, tmp_path, monkeypatch):
+    def planned(*_):
+        raise AssertionError("a Python data source was planned")
+
+    data = [np.random.default_rng(i).bytes(n) for i, n in enumerate((0, 5000, 1024, 1))]
+    for i, d in enumerate(data):
+        (tmp_path / str(i)).write_bytes(d)
+    large = tmp_path / "large"
+    large.write_bytes(bytes(9 << 20))
+    monkeypatch.setattr(type(spark.dataSource), "register", planned)
+    for block in (1 << 10, 1 << 20):
+        found = byte_blocks.block_candidates(spark, [str(tmp_path / str(i)) for i in (0, 1, 2, 3, 1)], 6, block)
+        want = [(k, c) for k, i in enumerate((0, 1, 2, 3, 1)) for c in gear.candidates(data[i], mask_bits=6).tolist()]
+        assert len(want) > 100 and sorted(map(tuple, found.collect())) == want
+    assert byte_blocks.block_candidates(spark, [str(large)], 16).rdd.getNumPartitions() == 3
