@@ -91,7 +91,8 @@ def file_chunks(spark: SparkSession, paths: Sequence[str], profile: Profile = OP
         raise ValueError("no files")
     files = file_table(spark, paths)
     found = block_candidates(spark, paths, profile.mask_bits, block)
-    per_file = files.join(found.groupBy("file_idx").agg(F.array_sort(F.collect_list("cut")).alias("cuts")), "file_idx", "left")
+    cuts = found.groupBy("file_idx").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+    per_file = files.join(cuts.hint("merge"), "file_idx", "left")  # the scan's size is estimated as its range's, so all cuts would be sent to the driver
 
     def ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

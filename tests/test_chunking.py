@@ -176,3 +176,14 @@ def test_candidates_need_no_python_worker_beside_the_driver(spark, tmp_path, mon
         want = [(k, c) for k, i in enumerate((0, 1, 2, 3, 1)) for c in gear.candidates(data[i], mask_bits=6).tolist()]
         assert len(want) > 100 and sorted(map(tuple, found.collect())) == want
     assert byte_blocks.block_candidates(spark, [str(large)], 16).rdd.getNumPartitions() == 3
+
+
+def test_cuts_of_files_are_not_broadcast(spark, tmp_path):
+    data = [np.random.default_rng(i).bytes(n) for i, n in enumerate((5000, 0, 70000))]
+    for i, d in enumerate(data):
+        (tmp_path / str(i)).write_bytes(d)
+    found = chunking.file_chunks(spark, [str(tmp_path / str(i)) for i in range(3)], SMALL, block=1 << 10)
+    want = [(i, *c) for i, d in enumerate(data) for c in gear.chunks(d, SMALL)]
+    assert len(want) > 10 and [tuple(r) for r in found.select("file_idx", "start", "size").orderBy("file_idx", "start").collect()] == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
